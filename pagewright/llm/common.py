@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def keyed(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """The key as a long and those columns; rows with a null key are left out."""
+    return df.select(F.col(key).cast("long").alias(key), *columns).where(F.col(key).isNotNull())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat",)
+MODULES = ("chat", "jaccard")
 
 
 def _merged(what: str) -> dict:
