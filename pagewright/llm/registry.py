@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "jaccard")
+MODULES = ("chat", "jaccard", "decontaminate", "langid")
 
 
 def _merged(what: str) -> dict:
