@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "jaccard", "decontaminate", "langid")
+MODULES = ("chat", "jaccard", "decontaminate", "langid", "covertree")
 
 
 def _merged(what: str) -> dict:
