@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "jaccard", "decontaminate", "langid", "covertree", "styletree", "licenses")
+MODULES = ("chat", "jaccard", "decontaminate", "langid", "covertree", "styletree", "licenses", "pieces")
 
 
 def _merged(what: str) -> dict:
