@@ -20,6 +20,7 @@ by its bytes, so it survives; very long words take a plain loop of the same recu
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 
 import numpy as np
@@ -34,16 +35,29 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Characters handled at once; words longer than LONG take the plain loop.
 CHARS, LONG = 1 << 20, 40
+#: Words in the memo of a Python worker.
+KEEP = 200_000
 INF = np.int64(1) << 50
 WORD = re.compile(r" *[^ ]+| +")
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+class Known:
+    """Words met so far, with the results of their lattices: a memo that changes no result and is dropped beyond KEEP words."""
+
+    def __init__(self):
+        self.names: dict[str, int] = {}
+        self.words: list[str] = []
+        self.ids: list[tuple[int, ...]] = []
+        self.cost, self.excess, self.lists = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
+
+
 class Pieces:
     """The pieces of a model: their bytes, costs, and a hash table over them."""
 
     def __init__(self, names: list[str], kinds: list[str]):
         """kinds: 'piece', 'byte' or 'other' for each id; names with U+2581 for the space."""
+        self.known: Known | None = None
         self.raw = [bytes([int(n[3:5], 16)]) if k == "byte" else n.replace("▁", " ").encode() if k == "piece" else b"" for n, k in zip(names, kinds, strict=True)]
         usual = [i for i, k in enumerate(kinds) if k == "piece"]
         norm = float(np.sum(1 / np.arange(1, len(usual) + 1)))
@@ -199,30 +213,37 @@ class Pieces:
 
     def encode(self, texts: list[str], n: int = 1):
         """For each text (ids of the best segmentation, [(cost, {word: ids that replace the best ones}), ...], words)."""
-        names: dict[str, int] = {}
-        texts = [t or "" for t in texts]
-        split = [WORD.findall(" " + t) if t else [] for t in texts]
-        order = [np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int64, len(ws)) for ws in split]
-        words = list(names)
-        ids, cost, excess = self.viterbi(words)
-        lists: dict[int, list] = {}
+        if self.known is None or len(self.known.words) > KEEP:
+            self.known = Known()
+        known = self.known
+        names, old = known.names, len(known.words)
+        order = []
+        for t in texts:
+            ws = WORD.findall(" " + t) if t else []
+            at = list(map(names.get, ws))
+            if None in at:
+                at = [names.setdefault(w, len(names)) for w in ws]
+            order.append(np.array(at, np.int64))
+        known.words += list(names)[old:] if old else names
+        ids, cost, excess = self.viterbi(known.words[old:])
+        known.ids += ids
+        known.cost, known.excess = np.concatenate([known.cost, cost]), np.concatenate([known.excess, excess])
         for ws in order:
-            best = [i for w in ws.tolist() for i in ids[w]]
-            total = int(cost[ws].sum())
-            yield best, self._combine(ws, total, words, excess, lists, n), ws
+            best = list(itertools.chain.from_iterable(map(known.ids.__getitem__, ws.tolist())))
+            yield best, self._combine(ws, int(known.cost[ws].sum()), known, n), ws
 
-    def _combine(self, ws, total, words, excess, lists, n):
+    def _combine(self, ws, total, known, n):
         out = [(total, {})]
         if n > 1 and len(ws):
-            x = excess[ws]
+            x = known.excess[ws]
             near = np.argpartition(x, n - 2)[: n - 1] if len(x) > n - 1 else np.arange(len(x))
             near = sorted(near[x[near] < INF].tolist(), key=lambda p: (int(x[p]), p))
             choice = []
             for p in near:
-                w = int(ws[p])
-                if w not in lists:
-                    lists[w] = self.nbest(words[w], n)
-                choice.append(lists[w])
+                w = (int(ws[p]), n)
+                if w not in known.lists:
+                    known.lists[w] = self.nbest(known.words[w[0]], n)
+                choice.append(known.lists[w])
             # k-best sums of independent lists: a state is a rank for each word.
             start = (0,) * len(near)
             heap, seen = [(0, start)], {start}
