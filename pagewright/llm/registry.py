@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "jaccard", "decontaminate", "langid", "covertree", "styletree", "licenses", "pieces", "suffixdedup")
+MODULES = ("chat", "jaccard", "decontaminate", "langid", "covertree", "styletree", "licenses", "pieces", "suffixdedup", "chaining")
 
 
 def _merged(what: str) -> dict:
