@@ -127,6 +127,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return keyed(docs, "doc_id", "text").mapInArrow(_scorer(shared), "doc_id long, lang_pred string, score double")
 
 
+def keep_languages(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a letter and whose predicted language scores least or more."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                pair = pa.RecordBatch.from_arrays([part.column(place)], ["text"])
+                for s in _scorer(shared)([pair]):
+                    keep = pc.and_(pc.not_equal(s.column("lang_pred"), "und"), pc.greater_equal(s.column("score"), least))
+                    yield part.filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key):
     """Whether a row is kept from learning: crc32 of the key as text, mod 5, is 0."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0

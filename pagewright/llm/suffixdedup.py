@@ -300,7 +300,7 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
 
 def _cutter(batches):
     for b in batches:
-        sizes, removed, runs, digests, kept = [], [], [], [], []
+        sizes, removed, runs, digests = [], [], [], []
         for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
             gone = merge_spans(np.frombuffer(b"".join(spans or ()), np.int64).reshape(-1, 2))
@@ -314,8 +314,7 @@ def _cutter(batches):
             removed.append(len(raw) - len(rest))
             runs.append(len(gone))
             digests.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _found(docs: DataFrame, side: DataFrame, size: str) -> DataFrame:
@@ -324,10 +323,9 @@ def _found(docs: DataFrame, side: DataFrame, size: str) -> DataFrame:
     return docs.join(F.broadcast(side) if total <= BROADCAST_BYTES else side, "doc_id", "left")
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): every document, and the bytes that are left of it."""
+def _spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans): the byte spans to remove, as lists of packed pairs, of every document that loses any."""
     spark = docs.sparkSession
-    docs = keyed(docs, "doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark, total, 2 * SHARD_TEXT)
     reports = cut(docs.mapInArrow(_report(4 * n), "bucket int, doc_id long, h binary, hs binary, ds binary, fs binary"), "lz4")
@@ -337,14 +335,48 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     mine = _found(docs, shared, "aggregate(known, 24L, (a, x) -> a + octet_length(x))").where("known is not null").select("doc_id", "text", "known")
     dealt = mine.mapInArrow(_deal(2 * n), "shard int, text binary, sizes binary, which binary, docs binary, at binary")
     spans = dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_decide, "doc_id long, spans binary")
-    spans = cut(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")))
-    out = _found(docs, spans, "aggregate(spans, 24L, (a, x) -> a + octet_length(x))").select("doc_id", "text", "spans")
-    return out.mapInArrow(_cutter, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return cut(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")))
+
+
+SPANS_SIZE = "aggregate(spans, 24L, (a, x) -> a + octet_length(x))"
+
+
+def dedup_substrings(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): every document, and what is left of its bytes."""
+    docs = keyed(docs, "doc_id", "text")
+    out = _found(docs, _spans(docs), SPANS_SIZE).select("doc_id", "text", "spans")
+    return out.mapInArrow(_cutter, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def remove_substrings(docs: DataFrame) -> DataFrame:
+    """docs with the repeated bytes cut out of text; of a character that a cut splits, the bytes that are left go too."""
+    spans = _spans(keyed(docs, "doc_id", "text")).select("doc_id", F.col("spans").alias("__spans"))
+    total = spans.agg(F.sum(F.expr(SPANS_SIZE.replace("spans", "__spans")))).first()[0] or 0
+    work = docs.withColumn("__key", F.col("doc_id").cast("long")).join(F.broadcast(spans) if total <= BROADCAST_BYTES else spans, F.col("__key") == spans.doc_id, "left")
+    work = work.select(*(docs[c] for c in docs.columns), "__spans")
+    place = docs.columns.index("text")
+
+    def rewrite(batches):
+        for b in batches:
+            out = []
+            for text, spans in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if text is not None and spans:
+                    raw, left, at = text.encode("utf-8", "surrogatepass"), [], 0
+                    for lo, hi in merge_spans(np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)).tolist():
+                        left.append(raw[at:lo])
+                        at = hi
+                    text = b"".join([*left, raw[at:]]).decode("utf-8", "ignore")
+                out.append(text)
+            columns = b.columns[:-1]
+            columns[place] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+
+    return work.mapInArrow(rewrite, docs.schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its bytes, those removed and in how many runs, the digest of the rest."""
-    return dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+    return dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 ORACLE: dict[str, str] = {}
