@@ -164,7 +164,7 @@ def s10_tsv(spark, d):
     """Recogniser rows made of line items, read as words."""
     li = table(spark, d, "lineitem")
     text = F.concat(F.lit(" "), F.when(F.col("l_linenumber") == 5, "  ").otherwise(F.col("l_returnflag")), F.col("l_linestatus"))
-    raw = li.select(F.lit(1).cast("long").alias("doc_id"), F.col("l_orderkey").alias("page"), F.when(F.col("l_linenumber") % 4 == 0, "4").otherwise("5").alias("level"), (F.col("l_suppkey") % 3).cast("string").alias("block_num"), F.lit("1").alias("par_num"), (F.col("l_linenumber") % 2).cast("string").alias("line_num"), F.floor("l_quantity").cast("string").alias("left"), F.lit("10").alias("top"), F.lit("30").alias("width"), F.lit("12").alias("height"), F.lit("91.5").alias("conf"), F.when(F.col("l_linenumber") != 6, text).alias("text"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    raw = li.select(F.lit(1).cast("long").alias("doc_id"), F.col("l_orderkey").alias("page"), F.when(F.col("l_linenumber") % 4 == 0, "4").otherwise("5").alias("level"), (F.col("l_suppkey") % 3).cast("string").alias("block_num"), F.lit("1").alias("par_num"), (F.col("l_linenumber") % 2).cast("string").alias("line_num"), F.floor("l_quantity").cast("string").alias("left"), F.lit("10").alias("top"), F.lit("30").alias("width"), F.lit("12").alias("height"), F.lit("91.5").alias("conf"), F.when(F.col("l_linenumber") != 6, text).alias("text"), F.floor(F.col("l_extendedprice") * 100).alias("ord"))
     return readers.words_from_tsv(raw, 2.0).select("page", "line_ix", "word_ix", "t", "conf", "x0", "y0", "x1", "y1")
 
 
@@ -284,7 +284,7 @@ f(doc_id, l, i, done, held) AS (SELECT doc_id, l, 1, CAST([] AS VARCHAR[]), l[1]
  SELECT doc_id, l, i + 1, CASE WHEN j AND rest = '' THEN done ELSE list_append(done, CASE WHEN j THEN left(held, length(held) - 1) || head ELSE held END) END,
   CASE WHEN j AND rest = '' THEN left(held, length(held) - 1) || head WHEN j THEN rest ELSE x END
  FROM (SELECT *, regexp_matches(held, '[\p{L}\p{N}_]-$') AND left(x, 1) = lower(left(x, 1)) AND left(x, 1) <> upper(left(x, 1)) AS j, CASE WHEN contains(x, ' ') THEN split_part(x, ' ', 1) ELSE x END AS head, CASE WHEN contains(x, ' ') THEN substr(x, strpos(x, ' ') + 1) ELSE '' END AS rest FROM (SELECT *, l[i + 1] AS x FROM f WHERE i < len(l))))
-SELECT doc_id, md5(array_to_string(list_append(done, held), chr(10))) AS digest, CAST(len(done) + 1 AS INTEGER) AS n_lines FROM f WHERE i = len(l)""".replace("\\p", "\p"),
+SELECT doc_id, md5(array_to_string(list_append(done, held), chr(10))) AS digest, CAST(len(done) + 1 AS INTEGER) AS n_lines FROM f WHERE i = len(l)""",
     "w7_stretch": with_words(" , g AS (SELECT page AS doc_id, line_ix, word_ix, t, min(y0) OVER l * 0.5 AS top, max(y1) OVER l * 0.5 AS low, lead(x0) OVER (l ORDER BY word_ix) * 0.5 AS nx, x0 * 0.5 AS px, (x1 - x0) * 0.5 AS own FROM fw WINDOW l AS (PARTITION BY page, line_ix)), h AS (SELECT *, greatest(1.0, low - top) AS fs, CASE WHEN nx IS NULL THEN t ELSE t || ' ' END AS tx, CASE WHEN nx IS NULL THEN own ELSE greatest(own, nx - px) END AS target FROM g) SELECT doc_id, line_ix, word_ix, round(fs, 4) AS font_size, round(px, 4) AS x, round(30000 - low + (low - top) * 0.15, 4) AS base, round(100 * greatest(target, 0.5) / (length(tx) * 0.5 * fs), 4) AS stretch, array_to_string(list_transform(string_split(tx, ''), lambda c: printf('%04x', unicode(c))), '') AS code FROM h"),
     "k6_book_script": with_words(r""", w AS (SELECT page, line_ix, word_ix, t, CAST(greatest(0, least(x0, 700)) AS INTEGER) AS a, CAST(3000 - greatest(0, least(y1, 3000)) AS INTEGER) AS b, CAST(greatest(0, least(x1, 700)) AS INTEGER) AS c, CAST(3000 - greatest(0, least(y0, 3000)) AS INTEGER) AS d FROM fw),
 l AS (SELECT page, line_ix, ' (line ' || min(a) || ' ' || min(b) || ' ' || max(c) || ' ' || max(d) || ' ' || string_agg('(word ' || a || ' ' || b || ' ' || c || ' ' || d || ' "' || replace(replace(t, '\', '\\'), '"', '\"') || '")', ' ' ORDER BY word_ix) || ')' AS s FROM w GROUP BY page, line_ix),
@@ -307,7 +307,7 @@ SELECT doc_id, md5(script) AS digest, length(script) AS n FROM s"""),
     "u5_upsert": "SELECT o_custkey AS doc_id, o_orderkey AS page, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders",
     "f17_empty_pages": r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '\p{Nd}') ORDER BY doc_id LIMIT 30",
     "f16_formats": "SELECT o_orderkey, array_to_string(list_filter(regexp_split_to_array(lower(o_orderpriority), '[- ]+'), lambda x: x NOT IN ('pdf', 'djvu', 'txt', '1', 'low')), ',') AS unknown FROM orders",
-    "s10_tsv": "WITH r AS (SELECT l_orderkey AS page, l_suppkey % 3 AS b, l_linenumber % 2 AS l, l_partkey * 10 + l_linenumber AS ord, l_returnflag || l_linestatus AS t, CASE WHEN l_linenumber = 5 THEN l_linestatus END AS five, CAST(floor(l_quantity) AS INTEGER) AS x FROM lineitem WHERE l_linenumber % 4 <> 0 AND l_linenumber <> 6) SELECT page, CAST(dense_rank() OVER (PARTITION BY page ORDER BY b, l) - 1 AS INTEGER) AS line_ix, CAST(row_number() OVER (PARTITION BY page, b, l ORDER BY ord) - 1 AS INTEGER) AS word_ix, coalesce(five, t) AS t, 91.5::DOUBLE AS conf, (x * 2)::DOUBLE AS x0, 20::DOUBLE AS y0, ((x + 30) * 2)::DOUBLE AS x1, 44::DOUBLE AS y1 FROM r",
+    "s10_tsv": "WITH r AS (SELECT l_orderkey AS page, l_suppkey % 3 AS b, l_linenumber % 2 AS l, CAST(floor(l_extendedprice * 100) AS BIGINT) AS ord, l_returnflag || l_linestatus AS t, CASE WHEN l_linenumber = 5 THEN l_linestatus END AS five, CAST(floor(l_quantity) AS INTEGER) AS x FROM lineitem WHERE l_linenumber % 4 <> 0 AND l_linenumber <> 6) SELECT page, CAST(dense_rank() OVER (PARTITION BY page ORDER BY b, l) - 1 AS INTEGER) AS line_ix, CAST(row_number() OVER (PARTITION BY page, b, l ORDER BY ord) - 1 AS INTEGER) AS word_ix, coalesce(five, t) AS t, 91.5::DOUBLE AS conf, (x * 2)::DOUBLE AS x0, 20::DOUBLE AS y0, ((x + 30) * 2)::DOUBLE AS x1, 44::DOUBLE AS y1 FROM r",
     "s11_lines": None,
     "s7_book_pages": "SELECT p_partkey AS doc_id, CAST(i AS INTEGER) AS page, CAST(p_partkey + i AS INTEGER) AS w, p_size * 100 AS h, 300 AS dpi FROM (SELECT *, unnest(range(1, p_size % 4 + 2)) AS i FROM part)",
     "t41_fit_box": "WITH s AS (SELECT o_orderkey, o_totalprice / 100 + 50 AS ph, least(400.0::DOUBLE / 500, 600 / (o_totalprice / 100 + 50)) AS k FROM orders) SELECT o_orderkey, round(k, 6) AS k, round((400 - 500 * k) / 2, 6) + 0.0::DOUBLE AS dx, round((600 - ph * k) / 2, 6) + 0.0::DOUBLE AS dy FROM s",
