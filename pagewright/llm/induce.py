@@ -160,28 +160,51 @@ def name_substrings(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> tuple[n
 
 
 def sort_in_memory(r: np.ndarray, cap: int) -> np.ndarray:
-    """Positions in the order of their suffixes by at least cap symbols: ranks of prefixes of doubled length."""
-    rank, k = np.unique(r, return_inverse=True)[1].astype(np.int64), 1
-    n = len(r)
-    while True:
-        nxt = np.zeros(n, np.int64)
-        if k < n:
-            nxt[:-k] = rank[k:] + 1
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        fresh = np.ones(n, bool)
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        rank[order] = np.cumsum(fresh) - 1
+    """Positions in the order of their suffixes by at least cap symbols: ranks of prefixes of doubled length.
+
+    A rank is the place of its group's first member in the order, so groups of one are settled and stay as they are.
+    """
+    n, k = len(r), 1
+    order = np.argsort(r, kind="stable")
+    new = np.append(True, r[order][1:] != r[order][:-1])
+    rank = np.empty(n, np.int64)
+    place = np.arange(n)
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    open_ = place[~(new & np.append(new[1:], True))]
+    while len(open_) and k < cap:
+        mine = order[open_]
+        after = np.where(mine + k < n, rank[np.minimum(mine + k, n - 1)] + 1, 0)
+        by = np.argsort(rank[mine] * (n + 1) + after)
+        mine, after = mine[by], after[by]
+        old = rank[mine]
+        order[open_] = mine
+        new = np.append(True, (old[1:] != old[:-1]) | (after[1:] != after[:-1]))
+        rank[mine] = np.maximum.accumulate(np.where(new, open_, 0))
+        open_ = open_[~(new & np.append(new[1:], True))]
         k *= 2
-        if fresh.all() or k >= cap:
-            return order
+    return order
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, known: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of each suffix of order with the one before, cut at cap; known symbols are not compared again."""
+    """Common prefix of each suffix of order with the one before, cut at cap; known symbols are not compared again.
+
+    Symbols of 16 bits are compared four at a time; the unique last symbol ends every comparison in time.
+    """
     out = np.minimum(known, cap).astype(np.int32)
     out[0] = 0
     live, n = np.arange(1, len(order)), len(t)
+    if t.dtype == np.uint16:
+        padded = np.concatenate([t, np.zeros(3, np.uint16)])
+        four = padded[:n].astype(np.uint64)
+        for k in (1, 2, 3):
+            four |= padded[k : n + k].astype(np.uint64) << np.uint64(16 * k)
+        while len(live):
+            live = live[out[live] < cap]
+            x = four[order[live] + out[live]] ^ four[order[live - 1] + out[live]]
+            same = (x & np.uint64(0xFFFF) == 0).astype(np.int32) + (x & np.uint64(0xFFFFFFFF) == 0) + (x & np.uint64(0xFFFFFFFFFFFF) == 0) + (x == 0)
+            out[live] += same
+            live = live[same == 4]
+        return np.minimum(out, cap)
     while len(live):
         live = live[out[live] < cap]
         a, b = order[live] + out[live], order[live - 1] + out[live]
@@ -346,11 +369,11 @@ def sorted_suffixes(t: np.ndarray, cap: int, budget: int = BUDGET, base: int = B
     if count == len(lms):
         order = np.argsort(names)
     elif len(lms) <= base:
-        order = sort_in_memory(names, cap)
+        order = sort_in_memory(names, cap // 2 + 1)  # a name stands for two symbols or more
     else:
         order, shared = scratch(len(lms), np.int64, budget), scratch(len(lms), np.int32, budget)
         at = len(lms)
-        for pos, lcp in sorted_suffixes(names, cap, budget, base):
+        for pos, lcp in sorted_suffixes(names, cap // 2 + 1, budget, base):
             order[at - len(pos) : at] = pos[::-1]
             # lcp with the one before in descending order is that of the next one in ascending order
             hi = at - len(pos)

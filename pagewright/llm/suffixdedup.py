@@ -4,15 +4,15 @@ Each window of 50 bytes has a minimizer, the smallest hash among its 20-byte str
 form a piece. Equal windows have equal minimizers, so pieces can be dealt out by minimizer and every shard decides its windows
 by itself, exactly:
 
-1. Every batch of texts reports its distinct minimizers; those of two documents or more are shared.
+1. Every batch of texts reports its distinct minimizers; those of two documents or more are shared. A document gets back
+   16-bit tags of its shared minimizers: a tag that fits by chance adds a piece to the next step and changes no result.
 2. Pieces with a shared minimizer go to the shard of that minimizer, equal pieces of a batch as one.
 3. A shard keeps one copy of equal pieces, with their smallest document, sorts the suffixes of the copies by external induced
    sorting (induce.py) and groups windows whose common prefix is 50 bytes or more. A window goes if its group holds a
    smaller document; a piece that an earlier document holds whole goes whole.
 4. Spans return to their documents, are merged, and cut out.
 
-Hot lines and groups of copies cost one report and one piece a batch before they move. Documents join what comes back by id;
-that side is broadcast only if its counted size is small.
+Hot lines and groups of copies cost one report and one piece a batch before they move. Documents join what comes back by id.
 
 Edge cases: a null text counts as empty; texts under 50 bytes lose nothing; matches never cross documents; rows with a null
 doc_id are left out; rows that repeat a doc_id hold one document's text and lose the same bytes.
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from . import induce
 from . import wordhash as wh
-from .common import BROADCAST_BYTES, cut, keyed, partitions, table
+from .common import cut, keyed, partitions, table
 
 WINDOW, SEED = 50, 20
 #: Bytes of text for a shard, and longest stretch of a text that is hashed at once (stretches overlap by a window).
-SHARD_TEXT, STRETCH = 16 << 20, 2 << 20
+SHARD_TEXT, STRETCH = 16 << 20, 1 << 20
+#: Bytes of text whose pieces are packed together.
+PACK = 8 << 20
 LOW = 22
 
 
@@ -89,46 +91,58 @@ def _pieces(data, starts, ends, rows, shift, window, seed):
     return rows[who], inside[first] - shift[who], inside[last] - inside[first] + window, full[at[first]]
 
 
+def tags(h: np.ndarray) -> np.ndarray:
+    """16-bit tags of minimizers, from bits that neither buckets nor shards use."""
+    return (h >> np.uint64(48)).astype(np.uint16)
+
+
 def _report(buckets: int):
-    """Distinct minimizers of each batch: to their buckets, or known as shared within the batch."""
+    """Distinct minimizers of each batch for their buckets; the tags of those that two documents of the batch share."""
 
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
-            for i, _, data, offsets in wh.chunks(b.column(1), lower=False):
+            for i, _, data, offsets in wh.chunks(b.column(1), lower=False, limit=PACK):
                 row, _, _, h = pieces(data, offsets)
                 if not len(row):
                     continue
-                doc = ids[i + row]
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order]
                 fresh = np.ones(len(h), bool)
-                fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                h, doc = h[fresh], doc[fresh]
+                fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                h, row = h[fresh], row[fresh]
                 new = np.ones(len(h), bool)
                 new[1:] = h[1:] != h[:-1]
                 times = np.diff(np.append(np.flatnonzero(new), len(h)))
                 shared = np.repeat(times > 1, times)
-                out = _rows(doc[shared], h[shared])
+                out = [(*r, None, None, None, None) for r in _rows(ids[i + row[shared]], h[shared], buckets)]
                 send = np.flatnonzero(new)
-                flag, sh, sd = times > 1, h[send], doc[send]
+                flag, sh, sr = times > 1, h[send], row[send]
                 where = (sh % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 cuts = np.searchsorted(where[order], np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(cuts)):
                     x = order[cuts[k] : cuts[k + 1]]
-                    out.append((int(k), None, None, sh[x].tobytes(), sd[x].tobytes(), flag[x].tobytes()))
-                yield _batch(out, ("bucket", "doc_id", "h", "hs", "ds", "fs"), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))
+                    names, at = np.unique(sr[x], return_inverse=True)
+                    out.append((int(k), None, None, _narrow(sh[x]), (at.astype(np.uint32) * np.uint32(2) + flag[x]).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), ids[i + names].tobytes(), len(x)))
+                yield _batch(out, ("bucket", "doc_id", "tags", "hs", "at", "names", "n"), (pa.int32(), pa.int64(), *(pa.binary(),) * 4, pa.int32()))
 
     return run
 
 
-def _rows(doc, h):
-    """A row for each document with its hashes."""
+def _narrow(h: np.ndarray) -> bytes:
+    """The 24 + 16 highest bits of each hash: within a bucket, five bytes tell minimizers apart."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _rows(doc, h, buckets: int):
+    """A row for each document with the tags of its hashes; its bucket only spreads the rows."""
+    if not len(doc):
+        return []
     order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
-    return [(-1, int(doc[a]), h[a:z].tobytes(), None, None, None) for a, z in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
+    doc, t = doc[order], tags(h)[order]
+    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    return [(int(doc[a]) % buckets, int(doc[a]), t[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
 
 
 def _batch(rows, names, kinds):
@@ -139,7 +153,8 @@ def _grouped(batches, key: str):
     """Lists of a key's rows; rows come sorted by the key."""
     held, now = [], None
     for b in batches:
-        for r in b.to_pylist():
+        for k in range(b.num_rows):
+            r = {n: c[k].as_py() for n, c in zip(b.schema.names, b.columns, strict=True)}
             if r[key] != now and held:
                 yield now, held
                 held = []
@@ -150,36 +165,60 @@ def _grouped(batches, key: str):
 
 
 def _answer(batches):
-    """Which reported minimizers are shared: back to the documents that reported them alone in their batch."""
+    """Which reported minimizers are shared: tags to the documents that reported them alone in their batch, and known tags."""
     for _, rows in _grouped(batches, "bucket"):
-        h = np.frombuffer(b"".join(r["hs"] for r in rows), np.uint64)
-        doc = np.frombuffer(b"".join(r["ds"] for r in rows), np.int64)
-        flag = np.frombuffer(b"".join(r["fs"] for r in rows), bool)
-        order = np.argsort(h, kind="stable")
-        h, doc, flag = h[order], doc[order], flag[order]
-        new = np.append(True, h[1:] != h[:-1])
-        start = np.flatnonzero(new)
-        shared = np.logical_or.reduceat(flag, start) | (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))
-        tell = np.repeat(shared, np.diff(np.append(start, len(h)))) & ~flag
-        out = [r[1:3] for r in _rows(doc[tell], h[tell])]
+        out = [(r["doc_id"], r["tags"]) for r in rows if r["tags"] is not None]
+        rows = [r for r in rows if r["tags"] is None]
+        if rows:
+            n = sum(r["n"] for r in rows)
+            h = np.zeros((n, 8), np.uint8)
+            h[:, 3:] = np.frombuffer(b"".join(r["hs"] for r in rows), np.uint8).reshape(-1, 5)
+            h = h.view("<u8").ravel()
+            at = np.zeros((n, 4), np.uint8)
+            at[:, :3] = np.frombuffer(b"".join(r["at"] for r in rows), np.uint8).reshape(-1, 3)
+            at = at.view("<u4").ravel()
+            flag = (at & 1).astype(bool)
+            ends = np.cumsum([r["n"] for r in rows])
+            doc = np.concatenate([np.frombuffer(r["names"], np.int64)[(at[z - r["n"] : z] >> 1).astype(np.int64)] for r, z in zip(rows, ends, strict=True)])
+            order = np.argsort(h, kind="stable")
+            h, doc, flag = h[order], doc[order], flag[order]
+            new = np.append(True, h[1:] != h[:-1])
+            start = np.flatnonzero(new)
+            shared = np.logical_or.reduceat(flag, start) | (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))
+            tell = np.repeat(shared, np.diff(np.append(start, n))) & ~flag
+            out += [r[1:] for r in _rows(doc[tell], h[tell], 1)]
         for lo in range(0, len(out), 20000):
-            yield _batch(out[lo : lo + 20000], ("doc_id", "h"), (pa.int64(), pa.binary()))
+            yield _batch(out[lo : lo + 20000], ("doc_id", "tags"), (pa.int64(), pa.binary()))
+
+
+def _gather(batches):
+    """One row a document with all its tags; rows come sorted by doc_id."""
+    out = []
+    for doc, rows in _grouped(batches, "doc_id"):
+        out.append((doc, np.unique(np.frombuffer(b"".join(r["tags"] for r in rows), np.uint16)).tobytes()))
+        if len(out) == 20000:
+            yield _batch(out, ("doc_id", "known"), (pa.int64(), pa.binary()))
+            out = []
+    if out:
+        yield _batch(out, ("doc_id", "known"), (pa.int64(), pa.binary()))
 
 
 def _deal(shards: int):
     """Pieces with a shared minimizer, to the minimizers' shards; equal pieces of a batch once, with all their places."""
 
     def run(batches):
+        codec = pa.Codec("zstd", 3)
         for b in batches:
-            ids, known = b.column(0).to_numpy(), b.column(2).to_pylist()
-            for i, j, data, offsets in wh.chunks(b.column(1), lower=False):
+            ids, known = b.column(0).to_numpy(), b.column(2)
+            for i, j, data, offsets in wh.chunks(b.column(1), lower=False, limit=PACK):
                 row, at, size, h = pieces(data, offsets)
-                cuts = np.searchsorted(row, np.arange(j - i + 1))
-                keep = np.zeros(len(row), bool)
+                cuts, tag = np.searchsorted(row, np.arange(j - i + 1)), tags(h)
+                keep, wanted = np.zeros(len(row), bool), np.zeros(1 << 16, bool)
                 for r in range(j - i):
-                    mine = np.frombuffer(b"".join(known[i + r] or ()), np.uint64)
-                    if len(mine):
-                        keep[cuts[r] : cuts[r + 1]] = np.isin(h[cuts[r] : cuts[r + 1]], mine)
+                    mine = np.frombuffer(known[i + r].as_py() or b"", np.uint16)
+                    wanted[mine] = True
+                    keep[cuts[r] : cuts[r + 1]] = wanted[tag[cuts[r] : cuts[r + 1]]]
+                    wanted[mine] = False
                 row, at, size, h = row[keep], at[keep], size[keep], h[keep]
                 if not len(row):
                     continue
@@ -189,22 +228,38 @@ def _deal(shards: int):
                 text = list(names)
                 shard = np.zeros(len(text), np.int64)
                 shard[which] = (wh.mix(h) % np.uint64(shards)).astype(np.int64)
-                doc, out = ids[i + row], []
-                by = np.argsort(shard, kind="stable")
+                out, by = [], np.argsort(shard, kind="stable")
                 ends = np.searchsorted(shard[by], np.arange(shards + 1))
                 place = np.argsort(shard[which], kind="stable")
                 places = np.searchsorted(shard[which][place], np.arange(shards + 1))
                 local = np.empty(len(text), np.int64)
                 local[by] = np.arange(len(by)) - np.repeat(ends[:-1], np.diff(ends))
                 for k in np.flatnonzero(np.diff(ends)):
-                    mine, x = by[ends[k] : ends[k + 1]], place[places[k] : places[k + 1]]
-                    parts = [text[m] for m in mine]
-                    out.append((int(k), b"".join(parts), np.array([len(p) for p in parts], np.int32).tobytes(), local[which[x]].astype(np.int32).tobytes(), doc[x].tobytes(), at[x].tobytes()))
-                yield _batch(out, ("shard", "text", "sizes", "which", "docs", "at"), (pa.int32(), *(pa.binary(),) * 5))
+                    x = place[places[k] : places[k + 1]]
+                    parts = [text[m] for m in by[ends[k] : ends[k + 1]]]
+                    # Places in the order of their documents, so that numbers in a row are small and alike.
+                    docs, doc = np.unique(row[x], return_inverse=True)
+                    sizes = np.array([len(p) for p in parts], np.uint16)
+                    numbers = np.concatenate([local[which[x]].astype("<u4").view(np.uint8), np.diff(doc, prepend=0).astype("<i4").view(np.uint8), at[x].astype("<u4").view(np.uint8)])
+                    blob = b"".join(parts) + numbers.tobytes()
+                    out.append((int(k), codec.compress(blob, asbytes=True), len(blob), codec.compress(sizes.tobytes(), asbytes=True), len(parts), len(x), ids[i + docs].tobytes()))
+                yield _batch(out, ("shard", "blob", "size", "sizes", "parts", "places", "docs"), (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))
 
     return run
 
 
+def _unpacked(r: dict):
+    """(pieces, piece of each place, document of each place, first byte of each place) of a dealt row."""
+    codec = pa.Codec("zstd")
+    blob = codec.decompress(r["blob"], r["size"], asbytes=True)
+    sizes = np.frombuffer(codec.decompress(r["sizes"], 2 * r["parts"], asbytes=True), np.uint16).astype(np.int64)
+    ends, n = np.cumsum(sizes), r["places"]
+    end = int(ends[-1])
+    which, doc, at = (np.frombuffer(blob, kind, n, end + 4 * n * k).astype(np.int64) for k, kind in enumerate(("<u4", "<i4", "<u4")))
+    parts = [blob[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    return parts, which, np.frombuffer(r["docs"], np.int64)[np.cumsum(doc)], at
+
+
 def repeated(parts: list[bytes], doc: np.ndarray, window: int = WINDOW, budget: int = induce.BUDGET, base: int = induce.BASE) -> np.ndarray:
     """For each byte of the joined parts (distinct strings, doc their documents): whether its window also starts in a smaller document's part."""
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -245,13 +300,11 @@ def _decide(batches):
         names: dict[bytes, int] = {}
         string, docs, at = [], [], []
         for r in rows:
-            sizes = np.frombuffer(r["sizes"], np.int32)
-            ends = np.cumsum(sizes)
-            d, text = np.frombuffer(r["docs"], np.int64), r["text"]
-            ids = np.array([names.setdefault(text[e - s : e], len(names)) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], np.int64)
-            string.append(ids[np.frombuffer(r["which"], np.int32)])
+            parts, which, d, a = _unpacked(r)
+            ids = np.array([names.setdefault(p, len(names)) for p in parts], np.int64)
+            string.append(ids[which])
             docs.append(d)
-            at.append(np.frombuffer(r["at"], np.int64))
+            at.append(a)
         string, docs, at = np.concatenate(string), np.concatenate(docs), np.concatenate(at)
         least = np.full(len(names), np.iinfo(np.int64).max)
         np.minimum.at(least, string, docs)
@@ -265,8 +318,8 @@ def _decide(batches):
         # runs of flagged windows of one piece become one span
         new = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)) if len(f) else np.zeros(0, bool)
         a = np.flatnonzero(new)
-        z = np.append(a[1:], len(f)) - 1
-        span_owner, span_lo, span_hi = owner[a], start[a], start[z] + WINDOW if len(f) else start[z]
+        z = np.append(a[1:], len(f))[: len(a)] - 1
+        span_owner, span_lo, span_hi = owner[a], start[a], start[z] + WINDOW
         bounds = np.searchsorted(span_owner, np.arange(len(parts) + 1))
         later = docs > least[string]
         d, lo, hi = [docs[later]], [at[later]], [at[later] + sizes[string[later]]]
@@ -280,7 +333,9 @@ def _decide(batches):
         d, lo, hi = np.concatenate(d), np.concatenate(lo), np.concatenate(hi)
         order = np.lexsort((lo, d))
         d, lo, hi = d[order], lo[order], hi[order]
-        cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
+        if not len(d):
+            continue
+        cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
         spans = np.stack([lo, hi], axis=1)
         out = [(int(d[x]), spans[x:y].tobytes()) for x, y in zip(cuts, np.append(cuts[1:], len(d)), strict=True)]
         for k in range(0, len(out), 20000):
@@ -317,10 +372,9 @@ def _cutter(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _found(docs: DataFrame, side: DataFrame, size: str) -> DataFrame:
-    """docs left-joined with side (a cut) by doc_id: broadcast if the counted bytes allow, else shuffled."""
-    total = side.agg(F.sum(F.expr(size))).first()[0] or 0
-    return docs.join(F.broadcast(side) if total <= BROADCAST_BYTES else side, "doc_id", "left")
+def _found(docs: DataFrame, side: DataFrame) -> DataFrame:
+    """docs left-joined with side (a cut) by doc_id, always by shuffle, so that every size behaves alike."""
+    return docs.join(side.hint("merge"), "doc_id", "left")
 
 
 def _spans(docs: DataFrame) -> DataFrame:
@@ -328,31 +382,26 @@ def _spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark, total, 2 * SHARD_TEXT)
-    reports = cut(docs.mapInArrow(_report(4 * n), "bucket int, doc_id long, h binary, hs binary, ds binary, fs binary"), "lz4")
-    asked = reports.where("bucket >= 0").select("bucket", "hs", "ds", "fs").repartition(n, "bucket").sortWithinPartitions("bucket")
-    told = asked.mapInArrow(_answer, "doc_id long, h binary").unionByName(reports.where("bucket < 0").select("doc_id", "h"))
-    shared = cut(told.groupBy("doc_id").agg(F.collect_list("h").alias("known")), "lz4")
-    mine = _found(docs, shared, "aggregate(known, 24L, (a, x) -> a + octet_length(x))").where("known is not null").select("doc_id", "text", "known")
-    dealt = mine.mapInArrow(_deal(2 * n), "shard int, text binary, sizes binary, which binary, docs binary, at binary")
+    reports = docs.mapInArrow(_report(4 * n), "bucket int, doc_id long, tags binary, hs binary, at binary, names binary, n int")
+    told = reports.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "doc_id long, tags binary")
+    shared = cut(told.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_gather, "doc_id long, known binary"))
+    mine = _found(docs, shared).where("known is not null").select("doc_id", "text", "known")
+    dealt = mine.mapInArrow(_deal(2 * n), "shard int, blob binary, size long, sizes binary, parts long, places long, docs binary")
     spans = dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_decide, "doc_id long, spans binary")
     return cut(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")))
 
 
-SPANS_SIZE = "aggregate(spans, 24L, (a, x) -> a + octet_length(x))"
-
-
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): every document, and what is left of its bytes."""
     docs = keyed(docs, "doc_id", "text")
-    out = _found(docs, _spans(docs), SPANS_SIZE).select("doc_id", "text", "spans")
+    out = _found(docs, _spans(docs)).select("doc_id", "text", "spans")
     return out.mapInArrow(_cutter, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_substrings(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes cut out of text; of a character that a cut splits, the bytes that are left go too."""
     spans = _spans(keyed(docs, "doc_id", "text")).select("doc_id", F.col("spans").alias("__spans"))
-    total = spans.agg(F.sum(F.expr(SPANS_SIZE.replace("spans", "__spans")))).first()[0] or 0
-    work = docs.withColumn("__key", F.col("doc_id").cast("long")).join(F.broadcast(spans) if total <= BROADCAST_BYTES else spans, F.col("__key") == spans.doc_id, "left")
+    work = docs.withColumn("__key", F.col("doc_id").cast("long")).join(spans.withColumnRenamed("doc_id", "__doc").hint("merge"), F.col("__key") == F.col("__doc"), "left")
     work = work.select(*(docs[c] for c in docs.columns), "__spans")
     place = docs.columns.index("text")
 

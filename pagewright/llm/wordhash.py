@@ -24,7 +24,7 @@ IS_WORD[128:] = True
 IS_WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz_"]] = True
 SHINGLE = 5
 #: Bytes handled at once; a longer text is handled alone, whole.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
@@ -49,8 +49,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def chunks(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) over rows whose bytes sum to about CHUNK; nulls are empty."""
+def chunks(column: pa.Array, lower: bool = True, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) over rows whose bytes sum to about limit; nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if lower:
         column = pc.utf8_lower(column)
@@ -58,7 +58,7 @@ def chunks(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
