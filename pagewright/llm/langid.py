@@ -25,7 +25,7 @@ from .common import keyed, table
 
 PER_LANGUAGE, LANDMARKS, RIDGE, PLACES, ORDERS = 300, 256, 1e-2, 1 << 17, 3
 #: Rows scored by one pair of matrix products.
-ROWS = 512
+ROWS = 128
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 _FOLD = np.arange(1 << 16, dtype=np.uint32)
 _FOLD[[c for c in range(1 << 16) if not chr(c).isalpha()]] = 32
