@@ -101,5 +101,5 @@ def flat_words(records: DataFrame) -> DataFrame:
 
 def append_history(scores: DataFrame, path: str) -> None:
     """Appends (date, commit, version, sample, system, words, word_acc, char_acc), accuracies with four decimals."""
-    four = lambda c: F.format_number(c, "0.0000")
+    four = lambda c: F.col(c).cast("decimal(10,4)")
     scores.withColumns({"word_acc": four("word_acc"), "char_acc": four("char_acc")}).coalesce(1).write.mode("append").option("header", True).csv(path)

@@ -177,7 +177,7 @@ def test_locale(spark):
     names = [(["bg-BG", "en-US"], "bg"), (["ja-JP", "pl-PL"], "pl"), (["sr-Latn-RS"], "sr_Latn"), (["sr_RS@latin"], "sr_Latn"), (["sr-RS"], "sr"), (["uk_UA.UTF-8"], "uk"), (["nn-NO"], "nb"), (["ja-JP"], "en")]
     df = spark.createDataFrame(names, "p array<string>, want string")
     assert df.where(locale.negotiate(F.col("p")) != F.col("want")).count() == 0
-    assert one(spark, ["fr", "de", "en"], lambda c: locale.number(F.lit(12345), c)) == ["12 345", "12.345", "12,345"]
+    assert one(spark, ["fr", "de", "en"], lambda c: locale.number(F.lit(12345), c)) == ["12\u00a0345", "12.345", "12,345"]
     assert one(spark, ["Спремно.", "Љубав"], locale.serbian_latin) == ["Spremno.", "Ljubav"]
 
 
