@@ -115,6 +115,19 @@ def test_fuzzy_passages(spark):
     assert chaining.fuzzy_passages(frame(spark, [])).count() == 0
 
 
+def test_fuzzy_passages_on_both_sides_of_different_words(spark):
+    rows, gaps = [], (30, 65, 100, 200, 300)
+    for k, gap in enumerate(gaps):
+        shared = [[f"p{k}s{side}w{j}" for j in range(100)] for side in range(2)]
+        rows += [(2 * k + d, " ".join(shared[0] + [f"p{k}d{d}w{j}" for j in range(gap)] + shared[1])) for d in range(2)]
+    got = {}
+    for r in chaining.fuzzy_passages(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.start_word, r.n_words, r.refs))
+    want = {2 * k + 1: [(0, 100, [2 * k]), (100 + gap, 100, [2 * k])] for k, gap in enumerate(gaps)}
+    want[1] = [(0, 230, [0])]
+    assert {i: sorted(x) for i, x in got.items()} == want
+
+
 def test_decontaminate(spark, monkeypatch):
     items = [(1, PROSE[1]), (2, " ".join(PROSE[2].split()[10:30])), (3, "one two"), (4, None), (5, ""), (6, "never seen at all here"), (None, "x"), (1, PROSE[1])]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))

@@ -228,6 +228,18 @@ def test_alignment_counts_equal_words():
     assert chaining.align(chain, words, 0, other) == (0, 60, 3, 60, 59)
 
 
+def test_equal_words_of_wide_gaps():
+    rng = random.Random(12)
+    for _ in range(60):
+        a, b = ([rng.randint(0, 30) for _ in range(rng.randint(0, 150))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            up, row = row, [0]
+            for k, y in enumerate(b):
+                row.append(up[k] + 1 if x == y else max(up[k + 1], row[k]))
+        assert chaining.equal_words(a, b) == row[-1]
+
+
 def test_seeds_reach_every_row():
     texts = ["a b c d e", "a b c d", "", " ".join(map(str, range(40)))]
     for _, _, data, offsets in wh.chunks(pa.array(texts)):
