@@ -128,6 +128,15 @@ def test_fuzzy_passages_on_both_sides_of_different_words(spark):
     assert {i: sorted(x) for i, x in got.items()} == want
 
 
+def test_fuzzy_passages_of_lines_seen_singly_before(spark):
+    passage = [f"w{j}" for j in range(60)]
+    own = lambda i, n: [f"own{i}w{j}" for j in range(n)]
+    rows = [(k + 1, own(k, 30) + passage[6 * k : 6 * k + 12] + own(100 + k, 30)) for k in range(9)]
+    rows += [(10, own(10, 40) + passage + own(11, 40)), (20, own(20, 25) + passage + own(21, 70))]
+    got = chaining.fuzzy_passages(frame(spark, [(i, " ".join(w)) for i, w in rows]).coalesce(1)).collect()
+    assert [(r.doc_id, r.start_word, r.n_words, r.best_ref, r.identity) for r in got] == [(20, 25, 60, 10, 1.0)]
+
+
 def test_decontaminate(spark, monkeypatch):
     items = [(1, PROSE[1]), (2, " ".join(PROSE[2].split()[10:30])), (3, "one two"), (4, None), (5, ""), (6, "never seen at all here"), (None, "x"), (1, PROSE[1])]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
