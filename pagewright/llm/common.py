@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and its rows times their width stay below this many bytes.
 BROADCAST_BYTES = 24 << 20
+#: Bytes of an Arrow batch at most about: a batch lies in memory several times, in the JVM and in the Python worker.
+ARROW_BYTES = 16 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after its session's limit on the bytes of Arrow batches is lowered to ARROW_BYTES."""
+    conf = df.sparkSession.conf
+    now = str(conf.get(_ARROW, "64m")).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
+        conf.set(_ARROW, str(ARROW_BYTES))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,26 +34,63 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def keyed(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """The key as a long and those columns; rows with a null key are left out."""
-    return df.select(F.col(key).cast("long").alias(key), *columns).where(F.col(key).isNotNull())
+    return bounded(df).select(F.col(key).cast("long").alias(key), *columns).where(F.col(key).isNotNull())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own serves a local
+    session (tests); on a cluster there is no folder that we may choose, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends here and survives lost executors."""
+    """Write df to the shared folder and read it again: the lineage ends here and survives lost executors.
+
+    The folder goes when the application ends, or by drop().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of cut tables that nothing reads any more."""
+    for df in tables:
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if name.rpartition("/")[2].startswith("cut-"):
+                files, at = _files(df.sparkSession, name)
+                files.delete(at, True)
+
+
+def lean(run):
+    """run, a function for mapInArrow, after which the worker gives its free memory back: workers live on after a stage."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def partitions(spark: SparkSession, total_bytes: float, each: float) -> int:
     """Partitions for that many bytes: at least the session's count, so the number follows the input."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total_bytes // each) + 1)
@@ -64,9 +115,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now is None or now == last:
+            drop(both)
             return labels
         last = now
         near = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("node")).agg(F.min("component").alias("c"))
         near = near.join(labels, "node").select("node", F.least("c", "component").alias("c"))
         up = labels.select(F.col("node").alias("c"), F.col("component").alias("top"))
-        labels = cut(near.join(up, "c", "left").select("node", F.least("c", F.coalesce("top", "c")).alias("component")))
+        before, labels = labels, cut(near.join(up, "c", "left").select("node", F.least("c", F.coalesce("top", "c")).alias("component")))
+        drop(before)

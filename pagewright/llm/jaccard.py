@@ -8,8 +8,8 @@ the components of the band graph, cut into pieces of bounded bytes, each pair of
 link counts and one edge a linked row, never its pairs.
 
 Edge cases: null and empty texts and texts without words have no shingles: no link, a class of their own. Texts of one to
-four words have one shingle and link only with equal ones. Rows that repeat a doc_id are one document; rows with a
-null doc_id are left out.
+four words have one shingle and link only with equal ones. Rows that repeat a doc_id are one document, and where their texts
+differ the one with the largest fingerprint counts; rows with a null doc_id are left out. Very long texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import components, cut, keyed, partitions, small, table
+from .common import components, cut, keyed, lean, partitions, small, table
 
 BANDS, WIDTH, STEP, TOLERANCE = 32, 4, 16, 1e-9
 HASHES = BANDS * WIDTH
@@ -64,13 +64,18 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> np.ndarray:
     return out
 
 
+def fingerprint(s: np.ndarray) -> bytes:
+    """192 bits that tell sets apart."""
+    return np.array([len(s), s.sum(), np.bitwise_xor.reduce(wh.mix(s))], np.uint64).tobytes()
+
+
 def _sketch(batches):
     for b in batches:
         ids, fp, keys = b.column(0).to_numpy(zero_copy_only=False), [], []
         hit = np.zeros(b.num_rows, bool)
         for r, s in wh.sets(b.column(1)):
             hit[r] = True
-            fp.append(np.array([len(s), s.sum(), np.bitwise_xor.reduce(wh.mix(s))], np.uint64).tobytes())
+            fp.append(fingerprint(s))
             keys.append(bands(minhash(s)))
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
@@ -79,8 +84,10 @@ def _sketch(batches):
 
 def _sets(batches):
     for b in batches:
-        rows, sig, packed = [], [], []
+        rows, sig, packed, fp = [], [], [], b.column(3).to_pylist()
         for r, s in wh.sets(b.column(1)):
+            if fingerprint(s) != fp[r]:  # another row with this doc_id stands for the document
+                continue
             rows.append(r)
             sig.append(minhash(s).tobytes())
             packed.append(s.tobytes())
@@ -191,15 +198,19 @@ def jaccard_join(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = keyed(docs, "doc_id", "text")
-    sketch = cut(docs.mapInArrow(_sketch, "doc_id long, fp binary, bands array<long>").dropDuplicates(["doc_id"]))
+    sketch = docs.mapInArrow(lean(_sketch), "doc_id long, fp binary, bands array<long>").groupBy("doc_id").agg(F.max(F.struct("fp", "bands")).alias("m"))
+    sketch = cut(sketch.select("doc_id", "m.fp", "m.bands"))
     classes = cut(sketch.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("bands").alias("bands")))
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     leader = banded.groupBy("band", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = cut(banded.join(leader, ["band", "key"]).where("rep <> lead").select("rep", "lead").distinct())
-    group = components(near, "rep", "lead").select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-    group = cut(group.join(classes.select(F.col("rep").alias("doc_id"), "mult"), "doc_id"))
-    sets = docs.join(small(group.select("doc_id", "c"), 16), "doc_id").select("doc_id", "text", "c")
-    sets = cut(sets.mapInArrow(_sets, "doc_id long, c long, sig binary, s binary, size long").dropDuplicates(["doc_id"]))
+    near = cut(banded.join(leader, ["band", "key"]).groupBy("rep").agg(F.min("lead").alias("least"), F.collect_set("lead").alias("leads")))
+    # A row hangs on its least lead; only the leads themselves, joined by the rows that have several, need rounds.
+    ties = near.where("size(leads) > 1").select("least", F.explode("leads").alias("lead")).where("lead <> least").distinct()
+    led = components(ties, "lead", "least").select(F.col("node").alias("least"), "component")
+    group = near.join(small(led, 16), "least", "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "least").alias("c"))
+    group = cut(group.join(classes.select(F.col("rep").alias("doc_id"), "mult", "fp"), "doc_id"))
+    sets = docs.join(small(group.select("doc_id", "c", "fp"), 48), "doc_id").select("doc_id", "text", "c", "fp")
+    sets = cut(sets.mapInArrow(lean(_sets), "doc_id long, c long, sig binary, s binary, size long").dropDuplicates(["doc_id"]))
     pieces = sets.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / PIECE_ROWS), F.ceil(F.sum("size") / PIECE_BYTES)).alias("pieces"))
     pieces = cut(pieces)
     placed = sets.join(small(pieces, 16), "c").join(small(group.select("doc_id", "mult"), 16), "doc_id")
@@ -208,7 +219,7 @@ def jaccard_join(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     placed = placed.select("c", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi"), F.when(F.col("p") <= F.col("o"), 0).otherwise(1).alias("side"), "doc_id", "mult", "sig", "s")
     total = sets.agg(F.sum("size")).first()[0] or 0
     blocks = placed.repartition(partitions(spark, total, 8 << 20), "c", "lo", "hi").sortWithinPartitions("c", "lo", "hi", "side", "doc_id")
-    found = cut(blocks.mapInArrow(_blocks(num, den), "a long, b long, n long"))
+    found = cut(blocks.mapInArrow(lean(_blocks(num, den)), "a long, b long, n long"))
     counts = found.groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("rep"), "n")
     joined = components(found).select(F.col("node").alias("rep"), "component")
     named = cut(classes.select("fp", "rep", "mult").join(small(counts, 16), "rep", "left").join(small(joined, 16), "rep", "left"))
