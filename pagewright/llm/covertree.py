@@ -1,15 +1,18 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
-Vectors are compared within their label. Equal vectors form one class. A label's distinct vectors are cut into blocks of
-bounded size; each pair of blocks is a task of its own that builds a cover tree over either block (nested levels, the radius
-halves from level to level, every node keeps its covering radius) and walks both trees at once: a pair of nodes goes when the
-distance of their centres exceeds the sum of their covering radii and the chord that belongs to the threshold. What is left
-at the leaves is verified by the cosine in double precision, so the links are exact. A task emits link counts and one edge a
-linked vector, never its pairs.
+Vectors are compared within their label. Equal vectors form one class. The upper level of a label's tree is a net of bounded
+size: every vector goes to the nearest of its centres, a cell keeps its covering radius, and a pair of cells goes, before anything
+is shuffled, when the distance of the centres exceeds the sum of the radii and the chord that belongs to the threshold. Cells are
+cut into blocks of bounded size. Each pair of blocks that is left is a task of its own that builds a cover tree over either block
+(nested levels, the radius halves from level to level, every node keeps its covering radius) and walks both trees at once,
+dropping pairs of nodes by the same bound. A node whose next level would hardly gather vectors, as with vectors spread evenly
+over many dimensions, stays a leaf. What is left at the leaves is verified by the cosine in double precision, so the links are
+exact. A task emits link counts and one edge a linked vector, never its pairs.
 
 Edge cases: vectors that are null, of length zero, zero, or that hold null or non-finite components, and vectors with a null
 label link with nothing and are their own component. Vectors of different lengths never link. Repeated vectors link with each
-other; rows with a null vec_id are left out, rows that repeat a vec_id are one vector.
+other; rows with a null vec_id are left out; rows that repeat a vec_id are one vector, the one with the largest label, then
+embedding.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, keyed, small, table
+from .common import components, cut, drop, keyed, lean, small, table
 
-#: Distinct vectors in a block at most about, and in a leaf.
-BLOCK, LEAF = 2048, 24
+#: Distinct vectors in a block at most about, and in a leaf; centres of all labels at most about.
+BLOCK, LEAF, CENTRES = 8192, 64, 2048
+#: A level is made only if its centres gather this many vectors each; looked at when so many centres are chosen.
+GATHER, LOOK = 2.0, 32
 SLACK = 1e-7
 
 
@@ -45,13 +50,15 @@ def build(x: np.ndarray) -> Node:
             return Node(center, radius, rows=rows)
         while level / 2 >= radius:
             level /= 2
-        half, kids = level / 2, []
+        half, kids, own = level / 2, [], x[rows]
         near, owner, c = far.copy(), np.zeros(len(rows), np.int64), [center]
         while True:
             k = int(near.argmax())
             if near[k] <= half:
                 break
-            d = np.sqrt(np.maximum(2 - 2 * (x[rows] @ x[rows[k]]), 0))
+            if len(c) >= LOOK and len(c) & len(c) - 1 == 0 and (near <= half).sum() < GATHER * len(c):
+                return Node(center, radius, rows=rows)
+            d = np.sqrt(np.maximum(2 - 2 * (own @ own[k]), 0))
             closer = d < near
             near[closer], owner[closer] = d[closer], len(c)
             near[k], owner[k] = 0, len(c)
@@ -106,8 +113,14 @@ def close_pairs(v: np.ndarray, w: np.ndarray | None, least: float) -> tuple[np.n
         if q is None:
             i, j = p
         else:
-            s, t = np.nonzero(x[p] @ y[q].T >= least - 1e-9)
-            i, j = p[s], q[t]
+            parts = [np.zeros((2, 0), np.int64)]
+            for k in range(0, len(p), 512):  # leaves of any size, by products of bounded size
+                for m in range(0, len(q), 4096):
+                    s, t = np.nonzero(x[p[k : k + 512]] @ y[q[m : m + 4096]].T >= least - 1e-9)
+                    parts.append(np.stack([p[k + s], q[m + t]]))
+            i, j = np.concatenate(parts, axis=1)
+            if w is None:
+                i, j = i[i != j], j[i != j]
         ii.append(i)
         jj.append(j)
     i, j = np.concatenate(ii), np.concatenate(jj)
@@ -139,7 +152,7 @@ def _pairs(least: float):
         held, key = [], None
         for b in batches:
             f = b.to_pandas()
-            new = (f[["g", "lo", "hi"]].diff().fillna(1) != 0).any(axis=1).to_numpy()
+            new = np.append(True, (f.g.to_numpy()[1:] != f.g.to_numpy()[:-1]) | (f[["lo", "hi"]].to_numpy()[1:] != f[["lo", "hi"]].to_numpy()[:-1]).any(axis=1)) if len(f) else []
             for part in np.split(np.arange(len(f)), np.flatnonzero(new)):
                 if len(part):
                     k = tuple(f.iloc[part[0]][["g", "lo", "hi"]])
@@ -173,24 +186,79 @@ def _pairs(least: float):
     return run
 
 
+def _nearest(shared):
+    """Rows (g, embedding, ...) with the number of the nearest centre of their g, its vector and the distance; -1: g has none."""
+
+    def run(batches):
+        centres: dict[str, np.ndarray] = shared.value
+        for b in batches:
+            g, n = b.column("g").to_pylist(), b.num_rows
+            cell, far, where = np.full(n, -1, np.int32), np.zeros(n), {}
+            for k, x in enumerate(g):
+                if x in centres:
+                    where.setdefault(x, []).append(k)
+            for x, rows in where.items():
+                v = np.array(b.column("embedding").take(pa.array(rows)).to_pylist())
+                v /= np.sqrt((v * v).sum(1))[:, None]
+                dot = v @ centres[x].T
+                cell[rows] = dot.argmax(1)
+                far[rows] = np.sqrt(np.maximum(2 - 2 * dot.max(1), 0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], [*b.schema.names, "cell", "far"])
+
+    return run
+
+
+def _cells(classes: DataFrame, least: float, block: int) -> DataFrame:
+    """(g, cell, ways): for each cell the cells (o, blocks) that it must be compared with; blocks: in how many it is cut."""
+    cells = classes.groupBy("g", "cell").agg(F.max("far").alias("r"), F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("centre").alias("c"))
+    a = cells.select("g", "cell", "r", "c", "blocks")
+    b = cells.select(F.col("g").alias("g2"), F.col("cell").alias("o"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("blocks").alias("blocks2"))
+    gap = F.sqrt(F.aggregate(F.zip_with("c", "c2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    chord = (2 - 2 * least) ** 0.5 + SLACK
+    pairs = a.join(b, F.col("g") == F.col("g2")).where((F.col("cell") == F.col("o")) | (gap <= F.col("r") + F.col("r2") + chord))
+    return pairs.groupBy("g", "cell", "blocks").agg(F.collect_list(F.struct("o", F.col("blocks2").alias("blocks"))).alias("ways"))
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept): vectors of one label with cosine >= least are linked."""
-    rows = cut(keyed(vectors, "vec_id", "embedding", "label").dropDuplicates(["vec_id"]))
+    spark = vectors.sparkSession
+    rows = keyed(vectors, "vec_id", "embedding", "label").groupBy("vec_id").agg(F.max(F.struct("label", "embedding")).alias("m"))
+    rows = cut(rows.select("vec_id", "m.embedding", "m.label"))
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = rows.where(F.coalesce(fine, F.lit(False))).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))).withColumn("g", F.xxhash64("label", F.size("embedding")))
+    good = rows.where(F.coalesce(fine, F.lit(False))).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)))
+    good = good.withColumn("g", F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string")))
     good = good.withColumn("h", F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256))
-    classes = cut(good.groupBy("g", "label", "h").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("mult"), F.first("embedding").alias("embedding")))
-    sizes = classes.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = classes.join(small(cut(sizes), 16), "g").withColumn("p", F.expr("cast(pmod(xxhash64(vec_id), blocks) as int)"))
-    placed = placed.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("g", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi"), F.when(F.col("p") <= F.col("o"), 0).otherwise(1).alias("side"), "vec_id", "mult", "embedding")
-    n = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes.count() // (2 * BLOCK) + 1)
-    found = cut(placed.repartition(n, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "side", "vec_id").mapInArrow(_pairs(least), "a long, b long, n long"))
+    classes = cut(good.groupBy("g", "h").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("mult"), F.first("embedding").alias("embedding")))
+    n = classes.count()
+    share = min(1 / BLOCK, CENTRES / max(n, 1))
+    # About one vector in BLOCK of each label is a centre; a label of one block has no use for them.
+    wide = classes.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    picked = classes.where(F.pmod(F.xxhash64("h", F.lit("centre")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).join(wide, "g").select("g", "embedding").collect()
+    nets: dict[str, list] = {}
+    for r in picked:
+        nets.setdefault(r.g, []).append(r.embedding)
+    nets = {g: np.array(x) / np.linalg.norm(np.array(x), axis=1)[:, None] for g, x in nets.items() if len(x) > 1}
+    shared = spark.sparkContext.broadcast(nets)
+    schema = "g string, h string, vec_id long, mult long, embedding array<double>, cell int, far double"
+    near = classes.mapInArrow(lean(_nearest(shared)), schema)
+    table_ = [(g, k, c.tolist()) for g, x in nets.items() for k, c in enumerate(x)]
+    centres = spark.createDataFrame(table_, "g string, cell int, centre array<double>")
+    near = cut(near)
+    cells = near.join(small(cut(centres), 8 * 1024), ["g", "cell"], "left") if table_ else near.withColumn("centre", F.lit(None).cast("array<double>"))
+    ways = cut(_cells(cells, least, BLOCK))
+    placed = near.join(small(ways, 64), ["g", "cell"])
+    placed = placed.withColumn("p", F.expr("cast(pmod(xxhash64(vec_id), blocks) as int)")).withColumn("way", F.explode("ways"))
+    placed = placed.withColumn("q", F.explode(F.expr("sequence(0, way.blocks - 1)")))
+    me, other = F.col("cell").cast("long") * (1 << 32) + F.col("p"), F.col("way.o").cast("long") * (1 << 32) + F.col("q")
+    placed = placed.select("g", F.least(me, other).alias("lo"), F.greatest(me, other).alias("hi"), F.when(me <= other, 0).otherwise(1).alias("side"), "vec_id", "mult", "embedding")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // BLOCK + 1)
+    found = cut(placed.repartition(parts, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "side", "vec_id").mapInArrow(lean(_pairs(least)), "a long, b long, n long"))
+    drop(near, ways)
     counts = found.groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("rep"), "n")
     joined = components(found).select(F.col("node").alias("rep"), "component")
-    named = classes.select("g", "h", "label", F.col("vec_id").alias("rep"), "mult").join(counts, "rep", "left").join(joined, "rep", "left")
-    member = good.select("vec_id", "g", "label", "h").join(named, ["g", "label", "h"]).select("vec_id", F.coalesce("component", "rep").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n"))
+    named = classes.select("g", "h", F.col("vec_id").alias("rep"), "mult").join(counts, "rep", "left").join(joined, "rep", "left")
+    member = good.select("vec_id", "g", "h").join(named, ["g", "h"]).select("vec_id", F.coalesce("component", "rep").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n"))
     out = rows.select("vec_id").join(member, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
