@@ -22,7 +22,7 @@ import tempfile
 import numpy as np
 
 #: Bytes of tuples that a queue keeps in memory, and symbols below which a string of names is sorted in memory.
-BUDGET, BASE = 96 << 20, 12 << 20
+BUDGET, BASE = 16 << 20, 1 << 16
 #: Most ranges of symbols at a time, where the alphabet is large.
 RANGES = 64
 PAIR = np.dtype([("pos", np.int64), ("lcp", np.int32)])

@@ -7,10 +7,11 @@ by itself, exactly:
 1. Every batch of texts reports its distinct minimizers; those of two documents or more are shared. A document gets back
    16-bit tags of its shared minimizers: a tag that fits by chance adds a piece to the next step and changes no result.
 2. Pieces with a shared minimizer go to the shard of that minimizer, equal pieces of a batch as one.
-3. A shard keeps one copy of equal pieces, with their smallest document, sorts the suffixes of the copies by external induced
-   sorting (induce.py) and groups windows whose common prefix is 50 bytes or more. A window goes if its group holds a
-   smaller document; a piece that an earlier document holds whole goes whole.
-4. Spans return to their documents, are merged, and cut out.
+3. A shard keeps one copy of equal pieces, with their smallest document; a copy in another document goes whole. A window of a piece
+   can only equal windows of pieces with the same minimizer, so pieces that are alone with theirs are settled. The suffixes of
+   all others are sorted by external induced sorting (induce.py), and windows whose common prefix is 50 bytes or more form a
+   group. A window goes if its group holds a smaller document.
+4. Spans return to their documents, packed for each shard and range of documents, are merged, and cut out.
 
 Hot lines and groups of copies cost one report and one piece a batch before they move. Documents join what comes back by id.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import induce
 from . import wordhash as wh
-from .common import cut, keyed, partitions, table
+from .common import cut, drop, keyed, lean, partitions, table
 
 WINDOW, SEED = 50, 20
 #: Bytes of text for a shard, and longest stretch of a text that is hashed at once (stretches overlap by a window).
@@ -270,87 +271,133 @@ def repeated(parts: list[bytes], doc: np.ndarray, window: int = WINDOW, budget:
     t[:-1] += 2
     t[ends - 1] = 1
     t[-1] = 0
-    owner = np.repeat(np.arange(len(parts)), sizes + 1)
-    left = np.repeat(ends - 1, sizes + 1)
     flagged = np.zeros(n, bool)
-
-    def settle(pos, start):
-        d = doc[owner[pos]]
-        least = np.minimum.reduceat(d, start)
-        flagged[pos] = d > np.repeat(least, np.diff(np.append(start, len(pos))))
-
     for pos, lcp in induce.sorted_suffixes(t, window, budget, base):
         new = lcp < window
         new[0] = True
-        ok = pos < n - 1
-        ok[ok] = left[pos[ok]] - pos[ok] >= window
+        ok = np.flatnonzero(pos < n - 1)
+        owner = np.searchsorted(ends, pos[ok], "right")
+        whole = ends[owner] - 1 - pos[ok] >= window
+        ok, owner = ok[whole], owner[whole]
+        if not len(ok):
+            continue
         group = np.cumsum(new)[ok]
-        p = pos[ok]
-        if len(p):
-            settle(p, np.flatnonzero(np.append(True, group[1:] != group[:-1])))
+        start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        d = doc[owner]
+        flagged[pos[ok]] = d > np.repeat(np.minimum.reduceat(d, start), np.diff(np.append(start, len(d))))
     inner = np.ones(n, bool)
     inner[ends - 1] = False
     inner[-1] = False
     return flagged[inner]
 
 
-def _decide(batches):
-    """A shard: pieces, their documents and places in; spans of bytes to remove out."""
-    for _, rows in _grouped(batches, "shard"):
-        names: dict[bytes, int] = {}
-        string, docs, at = [], [], []
+def rivals(parts: list[bytes], window: int = WINDOW, seed: int = SEED) -> np.ndarray:
+    """The parts (numbers, ascending) whose minimizer another part has as well; a part's windows share one minimizer."""
+    h = np.zeros(len(parts), np.uint64)
+    sizes = np.array([len(p) for p in parts], np.int64)
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(parts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + STRETCH, "right")))
+        row, _, _, got = pieces(np.frombuffer(b"".join(parts[i:j]), np.uint8), np.append(0, np.cumsum(sizes[i:j])), window, seed)
+        h[i + row] = got
+        i = j
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    return np.sort(order[np.append(False, same) | np.append(same, False)])
+
+
+def _decide(ranges: int):
+    """A shard: pieces, their documents and places in; spans of bytes to remove out, a row for each range of documents."""
+
+    def run(batches):
+        for _, rows in _grouped(batches, "shard"):
+            names: dict[bytes, int] = {}
+            string, docs, at = [], [], []
+            for r in rows:
+                parts, which, d, a = _unpacked(r)
+                ids = np.fromiter((names.setdefault(p, len(names)) for p in parts), np.int64, len(parts))
+                string.append(ids[which].astype(np.int32))
+                docs.append(d)
+                at.append(a)
+            string, docs, at = np.concatenate(string), np.concatenate(docs), np.concatenate(at)
+            least = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(least, string, docs)
+            parts = list(names)
+            del names, rows
+            sizes = np.array([len(p) for p in parts], np.int64)
+            mixed = rivals(parts)
+            flagged = repeated([parts[k] for k in mixed], least[mixed]) if len(mixed) else np.zeros(0, bool)
+            begin = np.cumsum(sizes[mixed]) - sizes[mixed]
+            f = np.flatnonzero(flagged)
+            owner = np.searchsorted(begin, f, "right") - 1
+            start = f - begin[owner]
+            # runs of flagged windows of one piece become one span
+            new = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)) if len(f) else np.zeros(0, bool)
+            a = np.flatnonzero(new)
+            z = np.append(a[1:], len(f))[: len(a)] - 1
+            span_owner, span_lo, span_hi = mixed[owner[a]], start[a], start[z] + WINDOW
+            bounds = np.searchsorted(span_owner, np.arange(len(parts) + 1))
+            later = docs > least[string]
+            d, lo, hi = [docs[later]], [at[later]], [at[later] + sizes[string[later]]]
+            own = np.flatnonzero(~later)
+            many = bounds[string[own] + 1] - bounds[string[own]]
+            own, many = own[many > 0], many[many > 0]
+            pick = np.repeat(bounds[string[own]] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+            d.append(np.repeat(docs[own], many))
+            lo.append(np.repeat(at[own], many) + span_lo[pick])
+            hi.append(np.repeat(at[own], many) + span_hi[pick])
+            d, lo, hi = merged_spans(np.concatenate(d), np.concatenate(lo), np.concatenate(hi))
+            where = (wh.mix(d.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+            by = np.argsort(where, kind="stable")
+            cuts = np.searchsorted(where[by], np.arange(ranges + 1))
+            codec, out = pa.Codec("zstd", 1), []
+            for k in np.flatnonzero(np.diff(cuts)):
+                x = by[cuts[k] : cuts[k + 1]]
+                blob = b"".join(y.astype(kind).tobytes() for y, kind in ((np.diff(d[x], prepend=0), "<i8"), (lo[x], "<u4"), (hi[x] - lo[x], "<u4")))
+                out.append((int(k), codec.compress(blob, asbytes=True), len(x)))
+            if out:
+                yield _batch(out, ("range", "blob", "n"), (pa.int32(), pa.binary(), pa.int32()))
+
+    return run
+
+
+def merged_spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """(document, first byte, byte after the last) of the maximal runs of the documents' spans, by document and byte."""
+    if not len(doc):
+        return doc, lo, hi
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    other = np.append(True, doc[1:] != doc[:-1])
+    rank = np.cumsum(other) << 40  # keeps documents apart: no text has 2^40 bytes
+    reach = np.maximum.accumulate(hi + rank)
+    first = np.flatnonzero(np.append(True, (lo + rank)[1:] > reach[:-1]))
+    return doc[first], lo[first], reach[np.append(first[1:], len(doc)) - 1] - rank[first]
+
+
+def _collect(batches):
+    """A range of documents: the spans of each, merged, as packed pairs."""
+    codec = pa.Codec("zstd")
+    for _, rows in _grouped(batches, "range"):
+        doc, lo, hi = [], [], []
         for r in rows:
-            parts, which, d, a = _unpacked(r)
-            ids = np.array([names.setdefault(p, len(names)) for p in parts], np.int64)
-            string.append(ids[which])
-            docs.append(d)
-            at.append(a)
-        string, docs, at = np.concatenate(string), np.concatenate(docs), np.concatenate(at)
-        least = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(least, string, docs)
-        parts = list(names)
-        flagged = repeated(parts, least)
-        sizes = np.array([len(p) for p in parts], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        f = np.flatnonzero(flagged)
-        owner = np.searchsorted(begin, f, "right") - 1
-        start = f - begin[owner]
-        # runs of flagged windows of one piece become one span
-        new = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)) if len(f) else np.zeros(0, bool)
-        a = np.flatnonzero(new)
-        z = np.append(a[1:], len(f))[: len(a)] - 1
-        span_owner, span_lo, span_hi = owner[a], start[a], start[z] + WINDOW
-        bounds = np.searchsorted(span_owner, np.arange(len(parts) + 1))
-        later = docs > least[string]
-        d, lo, hi = [docs[later]], [at[later]], [at[later] + sizes[string[later]]]
-        own = np.flatnonzero(~later)
-        many = bounds[string[own] + 1] - bounds[string[own]]
-        own, many = own[many > 0], many[many > 0]
-        pick = np.repeat(bounds[string[own]] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
-        d.append(np.repeat(docs[own], many))
-        lo.append(np.repeat(at[own], many) + span_lo[pick])
-        hi.append(np.repeat(at[own], many) + span_hi[pick])
-        d, lo, hi = np.concatenate(d), np.concatenate(lo), np.concatenate(hi)
-        order = np.lexsort((lo, d))
-        d, lo, hi = d[order], lo[order], hi[order]
-        if not len(d):
-            continue
-        cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            n = r["n"]
+            blob = codec.decompress(r["blob"], 16 * n, asbytes=True)
+            doc.append(np.cumsum(np.frombuffer(blob, "<i8", n)))
+            lo.append(np.frombuffer(blob, "<u4", n, 8 * n).astype(np.int64))
+            hi.append(np.frombuffer(blob, "<u4", n, 12 * n).astype(np.int64) + lo[-1])
+        doc, lo, hi = merged_spans(np.concatenate(doc), np.concatenate(lo), np.concatenate(hi))
         spans = np.stack([lo, hi], axis=1)
-        out = [(int(d[x]), spans[x:y].tobytes()) for x, y in zip(cuts, np.append(cuts[1:], len(d)), strict=True)]
-        for k in range(0, len(out), 20000):
-            yield _batch(out[k : k + 20000], ("doc_id", "spans"), (pa.int64(), pa.binary()))
+        cuts = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+        for k in range(0, len(cuts) - 1, 20000):
+            part = cuts[k : k + 20001]
+            yield _batch([(int(doc[x]), spans[x:y].tobytes()) for x, y in zip(part[:-1], part[1:], strict=True)], ("doc_id", "spans"), (pa.int64(), pa.binary()))
 
 
-def merge_spans(spans: np.ndarray) -> np.ndarray:
-    """Maximal runs of the union of [lo, hi) spans."""
-    if not len(spans):
-        return spans
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(spans[:, 1])
-    new = np.append(True, spans[1:, 0] > reach[:-1])
-    first = np.flatnonzero(new)
-    return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
+def without(raw: bytes, gone: np.ndarray) -> bytes:
+    """The bytes outside the spans."""
+    edges = [0, *gone.ravel().tolist(), len(raw)]
+    return b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
 
 
 def _cutter(batches):
@@ -358,13 +405,8 @@ def _cutter(batches):
         sizes, removed, runs, digests = [], [], [], []
         for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            gone = merge_spans(np.frombuffer(b"".join(spans or ()), np.int64).reshape(-1, 2))
-            left, at = [], 0
-            for lo, hi in gone.tolist():
-                left.append(raw[at:lo])
-                at = hi
-            left.append(raw[at:])
-            rest = b"".join(left)
+            gone = np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
+            rest = without(raw, gone)
             sizes.append(len(raw))
             removed.append(len(raw) - len(rest))
             runs.append(len(gone))
@@ -378,24 +420,26 @@ def _found(docs: DataFrame, side: DataFrame) -> DataFrame:
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): the byte spans to remove, as lists of packed pairs, of every document that loses any."""
+    """(doc_id, spans): the byte spans to remove, as packed pairs, of every document that loses any."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark, total, 2 * SHARD_TEXT)
-    reports = docs.mapInArrow(_report(4 * n), "bucket int, doc_id long, tags binary, hs binary, at binary, names binary, n int")
-    told = reports.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "doc_id long, tags binary")
-    shared = cut(told.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_gather, "doc_id long, known binary"))
+    reports = docs.mapInArrow(lean(_report(4 * n)), "bucket int, doc_id long, tags binary, hs binary, at binary, names binary, n int")
+    told = reports.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_answer), "doc_id long, tags binary")
+    shared = cut(told.repartition(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(lean(_gather), "doc_id long, known binary"))
     mine = _found(docs, shared).where("known is not null").select("doc_id", "text", "known")
-    dealt = mine.mapInArrow(_deal(2 * n), "shard int, blob binary, size long, sizes binary, parts long, places long, docs binary")
-    spans = dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_decide, "doc_id long, spans binary")
-    return cut(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")))
+    dealt = mine.mapInArrow(lean(_deal(2 * n)), "shard int, blob binary, size long, sizes binary, parts long, places long, docs binary")
+    spans = dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(lean(_decide(n)), "range int, blob binary, n int")
+    spans = cut(spans.repartition(n, "range").sortWithinPartitions("range").mapInArrow(lean(_collect), "doc_id long, spans binary"))
+    drop(shared)
+    return spans
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): every document, and what is left of its bytes."""
     docs = keyed(docs, "doc_id", "text")
     out = _found(docs, _spans(docs)).select("doc_id", "text", "spans")
-    return out.mapInArrow(_cutter, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.mapInArrow(lean(_cutter), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_substrings(docs: DataFrame) -> DataFrame:
@@ -410,17 +454,13 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
             out = []
             for text, spans in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 if text is not None and spans:
-                    raw, left, at = text.encode("utf-8", "surrogatepass"), [], 0
-                    for lo, hi in merge_spans(np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)).tolist():
-                        left.append(raw[at:lo])
-                        at = hi
-                    text = b"".join([*left, raw[at:]]).decode("utf-8", "ignore")
+                    text = without(text.encode("utf-8", "surrogatepass"), np.frombuffer(spans, np.int64).reshape(-1, 2)).decode("utf-8", "ignore")
                 out.append(text)
             columns = b.columns[:-1]
             columns[place] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
 
-    return work.mapInArrow(rewrite, docs.schema)
+    return work.mapInArrow(lean(rewrite), docs.schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
