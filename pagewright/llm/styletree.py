@@ -1,20 +1,28 @@
 """Main text of web pages by site style trees.
 
-All pages of a host are merged into one tree whose nodes are paths of (tag, class, id). A node counts, over the host's pages,
-its presentations (the sequence of its children) and its contents (the text below it). Entropy makes the importance: a node
-whose presentation and content hardly vary over many pages is noise, and its branch is removed from each page:
+All pages of a host are merged into one tree whose nodes are paths of (tag, class, id). Units are the nodes that hold text of their
+own: blocks, and inline elements whose class declares something. A unit counts, over the host's distinct pages, its presentations
+(the sequence of its children) and its contents. Entropies make its importance, with the mean number l of its children:
 
-    importance = (1 - GAMMA^l) * entropy(presentations) + GAMMA^l * entropy(contents),   entropies scaled to 0..1
+    importance = (1 - GAMMA^l) * entropy(presentations) + GAMMA^l * entropy(contents)
 
-with l the mean number of children. What HTML says itself outranks the statistics, because copied articles vary as little as
-menus do and menus may vary from page to page: elements that are declared to be menus, headers, footers, adverts and the like
-go, and where a page declares an article (or else a main element) the text outside goes and the inside is not judged by entropy.
+Entropies run from 0 (all pages alike) to 1 (all different) and are taken over the observed pages and PRIOR_PAGES more that differ
+from all others, so little evidence moves importance little. Pages whose main texts share the least shingle hash count
+once: a host full of copies of one article says nothing against that article. On each page the importance of a unit is weighed by
+what the markup declares, and units under LEAST_IMPORTANCE go; a branch goes when all its units do. Declarations are priors:
+
+    0.45  menus, headers, footers, sidebars by element or role; forms, and adverts, comments and the like by class; all outside the article
+          (or else main element) of a page that declares one
+    0.8   forms and the same by class, if the branch holds half of the page's text
+    0.7   words like notice, share, search, related in a class; 0.53 if the branch holds under a quarter of the text
+
+Scripts, styles, controls and hidden elements are no text at all.
 
 Statistics are counts with partial aggregation by host, node and value, so a host with a third of all pages costs rows a
-distinct value and task, not rows a page. The lists of noisy nodes join the pages by host.
+distinct value and task, not rows a page. Only nodes of importance under DOUBT join the pages, by host.
 
-Edge cases: null or empty html gives empty text; pages with a null or odd url share the host ''; hosts with fewer than
-LEAST_PAGES pages are judged by declared elements alone. Rows with a null page_id are left out; repeated rows all stay.
+Edge cases: null or empty html gives empty text; pages with a null or odd url share the host ''. Rows with a null page_id are
+left out; repeated rows all stay. Few pages of a host give no strong evidence, so there the declarations decide. Very long and deeply nested pages take one pass, linear in their length.
 """
 
 from __future__ import annotations
@@ -22,14 +30,19 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, small, table
+from . import wordhash as wh
+from .common import cut, keyed, lean, table
 
-GAMMA, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.35, 8
+GAMMA, LEAST_IMPORTANCE, PRIOR_PAGES = 0.9, 0.5, 4
+#: Priors, and the importance from which on only priors under LEAST_IMPORTANCE remove a unit.
+DECLARED, LARGE, LIKELY, SMALL = 0.45, 0.8, 0.7, 0.53
+DOUBT = LEAST_IMPORTANCE / SMALL
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -42,13 +55,16 @@ ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"|'
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Elements that are not text of an article, wherever they stand; and those that are not when they stand outside an article.
-NOISE_TAGS = frozenset("nav footer aside form button select input dialog menu object applet audio video canvas frameset head".split())
-OUTER_TAGS = frozenset(("header",))
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-#: Words of a class or id that declare noise anywhere; and those that do outside an article.
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus respond reply replies login signup search pagination pager toolbar widget widgets".split())
-OUTER_WORDS = frozenset("header masthead topbar side rail".split())
+CONTROLS = frozenset("head button select input option object applet audio video canvas frameset".split())
+NOISE_TAGS = frozenset("nav footer aside dialog menu".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
+#: Words of a class or id: those that declare what is no article, those that often do, those that do outside an article, comments.
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox nav navbar navigation menu breadcrumb breadcrumbs footer sidebar cookie cookies consent gdpr newsletter popup modal".split())
+WEAK = frozenset("promo promotion sponsor sponsored notice notices share sharing social related recommended login signup search pagination pager toolbar widget widgets banner overlay subscribe subscription aside".split())
+OUTER = frozenset("header masthead topbar side rail".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+_WORDS = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def host(url: str | None) -> str:
@@ -56,116 +72,165 @@ def host(url: str | None) -> str:
     return m[1].rpartition("@")[2].lower() if m else ""
 
 
+def digest(x: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed) >> 1
+
+
 class Page:
-    """One pass over a page: text runs with the nodes that they stand in, and for each node its path and children."""
+    """One pass over a page: its elements (parent, path, prior, unit, children) and the text runs with the elements they stand in."""
 
     def __init__(self, source: str):
-        self.paths, self.parent, self.state, self.kids = ["#"], [-1], [0], [[]]
-        self.runs: list[tuple[int, int, str]] = []  # node, block, text
+        self.parent, self.path, self.unit, self.kids = [-1], [0], [0], [[]]
+        self.grade, self.state = [""], [0]  # state: 0 outside, 1 main, 2 article
+        self.runs: list[tuple[int, int, str]] = []  # element, block, text
         self.block, at = 0, 0
-        stack = [("#", 0)]
         self.article = self.main = False
+        self.stack, self.open = [("#", 0)], {}
         for m in TOKEN.finditer(source):
             if m.start() > at:
-                self.runs.append((stack[-1][1], self.block, source[at : m.start()]))
+                self.runs.append((self.stack[-1][1], self.block, source[at : m.start()]))
             at = m.end()
             tag = m["tag"]
             if tag is None:
                 if m["raw"] and m["raw"].lower() == "textarea":
                     self.block += 1
-                continue
-            tag = tag.lower()
-            if m["end"]:
-                self._end(stack, tag)
+            elif m["end"]:
+                self._end(tag.lower())
             else:
-                self._start(stack, tag, m["attrs"])
+                self._start(tag.lower(), m["attrs"])
         if at < len(source):
-            self.runs.append((stack[-1][1], self.block, source[at:]))
+            self.runs.append((self.stack[-1][1], self.block, source[at:]))
 
-    def _end(self, stack, tag):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                if any(t in BLOCK for t, _ in stack[k:]):
-                    self.block += 1
-                elif tag in ("td", "th"):
-                    self.runs.append((stack[-1][1], self.block, " "))
-                del stack[k:]
-                return
-        if tag in BLOCK:
+    def _close(self, k: int) -> None:
+        for tag, _ in self.stack[k:]:
+            self.open[tag] -= 1
+        del self.stack[k:]
+
+    def _end(self, tag: str) -> None:
+        if not self.open.get(tag):
+            self.block += tag in BLOCK
+            return
+        k = len(self.stack) - 1
+        while self.stack[k][0] != tag:
+            k -= 1
+        if any(t in BLOCK for t, _ in self.stack[k:]):
             self.block += 1
+        elif tag in ("td", "th"):
+            self.runs.append((self.stack[-1][1], self.block, " "))
+        self._close(k)
 
-    def _start(self, stack, tag, attrs):
+    def _start(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
             self.block += 1
-            for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends here
-                if stack[k][0] == "p":
-                    del stack[k:]
+            if self.open.get("p"):  # an open paragraph ends here
+                for k in range(len(self.stack) - 1, 0, -1):
+                    if self.stack[k][0] == "p":
+                        self._close(k)
+                        break
+                    if self.stack[k][0] in BLOCK:
+                        break
+        ends = CLOSES.get(tag, ())
+        if any(self.open.get(t) for t in ends):
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k][0] in ends:
+                    self._close(k)
                     break
-                if stack[k][0] in BLOCK:
+                if self.stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "select"):
                     break
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in CLOSES.get(tag, ()):
-                del stack[k:]
-                break
-            if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "select"):
-                break
         if tag in ("td", "th"):  # cells of one row share a block
-            self.runs.append((stack[-1][1], self.block, " "))
+            self.runs.append((self.stack[-1][1], self.block, " "))
         if tag in VOID:
             if tag in ("br", "hr", "img"):
-                self.runs.append((stack[-1][1], self.block, " "))
+                self.runs.append((self.stack[-1][1], self.block, " "))
             return
-        above = stack[-1][1]
+        above = self.stack[-1][1]
         look = {k.lower(): (v or "").strip("\"'") for k, v in ATTR.findall(attrs)} if attrs and attrs != "/" else {}
-        name = f"{tag}.{look.get('class', '')}#{re.sub(r'[0-9]+', '0', look.get('id', ''))}"
-        inside = self.state[above]  # 0 outside, 1 main, 2 article, 3 noise
-        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{look.get('class', '')} {look.get('id', '')}").lower())) if look else ()
-        if inside != 3:
-            if tag in NOISE_TAGS or look.get("role", "").lower() in NOISE_ROLES or "hidden" in look or "display:none" in look.get("style", "").replace(" ", "").lower() or not NOISE_WORDS.isdisjoint(words) and tag not in ("body", "html", "article", "main"):
-                inside = 3
-            elif inside == 0 and (tag in OUTER_TAGS or not OUTER_WORDS.isdisjoint(words) and tag not in ("body", "html", "article", "main")):
-                inside = 3
-            elif tag == "article":
-                inside, self.article = 2, True
-            elif (tag == "main" or look.get("role", "").lower() == "main") and inside == 0:
-                inside, self.main = 1, True
-        node = len(self.paths)
-        self.paths.append(f"{self.paths[above]}/{name}")
+        kind, name = look.get("class", ""), look.get("id", "")
+        node, state = len(self.path), self.state[above]
+        grade = self._grade(tag, look, f"{kind} {name}", state)
+        if tag == "article" and grade != "out":
+            state, self.article = 2, True
+        elif (tag == "main" or look.get("role", "").lower() == "main") and not state:
+            state, self.main = 1, True
+        label = f"{tag}.{kind}#{re.sub('[0-9]+', '0', name)}"
         self.parent.append(above)
-        self.state.append(inside)
+        self.path.append(digest(label, self.path[above]))
+        self.unit.append(node if tag in BLOCK or tag in ("td", "th") or grade else self.unit[above])
         self.kids.append([])
-        self.kids[above].append(name)
-        stack.append((tag, node))
-
-    def nodes(self):
-        """(path, presentation, content) of the distinct paths; siblings of one path count together."""
-        text: list[list[str]] = [[] for _ in self.paths]
+        self.kids[above].append(label)
+        self.grade.append(grade)
+        self.state.append(state)
+        self.stack.append((tag, node))
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    @staticmethod
+    def _grade(tag: str, look: dict, name: str, state: int) -> str:
+        """What the markup declares of an element: 'out', 'tag', 'comments', 'strong', 'weak', or nothing."""
+        if tag in CONTROLS or "hidden" in look or "display:none" in look.get("style", "").replace(" ", "").lower():
+            return "out"
+        if tag in NOISE_TAGS or look.get("role", "").lower() in NOISE_ROLES or tag == "header" and not state:
+            return "tag"
+        if len(name) > 1 and tag not in ("body", "html", "article", "main") or tag == "article" and "comment" in name:
+            words = set(_WORDS.findall(_HUMP.sub(" ", name).lower()))
+            if not COMMENTS.isdisjoint(words):
+                return "comments"
+            if not STRONG.isdisjoint(words) or not state and not OUTER.isdisjoint(words):
+                return "strong"
+            if not WEAK.isdisjoint(words):
+                return "weak"
+        return "strong" if tag == "form" or look.get("role", "").lower() == "form" else ""
+
+    def priors(self) -> list[float]:
+        """Of each element: the least prior of itself and those above it; outside the article that of the article's absence."""
+        size, seen = [0] * len(self.path), [g != "out" for g in self.grade]
+        for node, _, run in self.runs:
+            size[node] += len(run.strip())
+        for n in range(1, len(seen)):
+            seen[n] = seen[n] and seen[self.parent[n]]
+        for n in range(len(size) - 1, 0, -1):
+            size[self.parent[n]] += size[n] * seen[n]
+        whole, least = max(1, size[0]), 2 if self.article else 1 if self.main else 0
+        out = []
+        for n, g in enumerate(self.grade):
+            p, part = 1.0 if n == 0 else out[self.parent[n]], size[n] / whole
+            if g == "out":
+                p = 0.0
+            elif g in ("tag", "comments"):
+                p = min(p, DECLARED)
+            elif g == "strong":
+                p = min(p, LARGE if part >= 0.5 else DECLARED)
+            elif g == "weak":
+                p = min(p, LIKELY if part >= 0.25 else SMALL)
+            out.append(p)
+        return [min(p, DECLARED) if s < least else p for p, s in zip(out, self.state, strict=True)]
+
+    def key(self, priors: list[float]) -> int:
+        """The least shingle hash of the text that the priors alone leave: near copies mostly share it."""
+        text = " ".join(run for node, _, run in self.runs if priors[node] >= LEAST_IMPORTANCE)
+        least = [int(s[0] >> np.uint64(1)) for _, s in wh.sets(pa.array([text], pa.large_string()))]
+        return least[0] if least else 0
+
+    def units(self):
+        """(path, presentation, content, children) of the distinct paths with text; siblings of one path count together."""
+        text: dict[int, list[str]] = {}
         for node, _, run in self.runs:
             if run.strip():
-                while node >= 0:
-                    text[node].append(run)
-                    node = self.parent[node]
-        merged: dict[str, tuple[list, list, int]] = {}
-        for path, kids, run in zip(self.paths, self.kids, text, strict=True):
-            x = merged.setdefault(path, ([], [], 0))
-            x[0].extend(kids)
-            x[1].extend(run)
-            merged[path] = (x[0], x[1], x[2] + 1)
-        for path, (kids, run, _) in merged.items():
-            if run and path != "#":
-                shape = [k for i, k in enumerate(kids) if not i or k != kids[i - 1]]
-                yield path, "|".join(shape), " ".join("".join(run).split()), len(shape)
-
-    def text(self, noisy=frozenset()) -> str:
-        """The main text; noisy: hashes of paths whose branches the site style tree removes."""
-        least = 2 if self.article else 1 if self.main else 0
-        bad = [s == 3 or s < least for s in self.state]
-        if not least and noisy:
-            for n in range(1, len(bad)):
-                bad[n] = bad[n] or bad[self.parent[n]] and self.parent[n] > 0 or digest(self.paths[n]) in noisy
+                text.setdefault(self.unit[node], []).append(run)
+        merged: dict[int, tuple[list, list]] = {}
+        for unit in sorted(text):
+            x = merged.setdefault(self.path[unit], ([], []))
+            x[0].extend(self.kids[unit])
+            x[1].extend(text[unit])
+        for path, (kids, run) in merged.items():
+            shape = [k for i, k in enumerate(kids) if not i or k != kids[i - 1]]
+            yield path, "|".join(shape), " ".join("".join(run).split()), len(shape)
+
+    def text(self, importance: dict[int, float] | None = None) -> str:
+        """The main text; importance: that of the host's units, 1 where it says nothing."""
+        importance, prior = importance or {}, self.priors()
         out, last, held = [], None, []
         for node, block, run in self.runs:
-            if bad[node]:
+            if prior[node] * importance.get(self.path[self.unit[node]], 1.0) < LEAST_IMPORTANCE:
                 continue
             if block != last and held:
                 out.append("".join(held))
@@ -177,40 +242,39 @@ class Page:
         return "\n".join(x for x in clean if x)
 
 
-def digest(x: str) -> int:
-    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1
-
-
 def _observe(batches):
     for b in batches:
-        site, path, kind, value, kids = [], [], [], [], []
+        site, path, kind, value, key, kids = [], [], [], [], [], []
         for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            h = host(url)
-            for p, shape, content, n in Page(source or "").nodes():
+            page, h = Page(source or ""), host(url)
+            same = page.key(page.priors())
+            for p, shape, content, n in page.units():
                 site += [h, h]
-                p = digest(p)
                 path += [p, p]
                 kind += [0, 1]
                 value += [digest(shape), digest(content)]
+                key += [same, same]
                 kids += [n, n]
-        yield pa.RecordBatch.from_arrays([pa.array(site, pa.string()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64()), pa.array(kids, pa.int64())], ["host", "path", "kind", "value", "kids"])
+        yield pa.RecordBatch.from_arrays([pa.array(site, pa.string()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64()), pa.array(key, pa.int64()), pa.array(kids, pa.int64())], ["host", "path", "kind", "value", "key", "kids"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance): the nodes of every host's site style tree; path is the hash of the node's path."""
-    seen = pages.select("url", "html").mapInArrow(_observe, "host string, path long, kind int, value long, kids long")
-    counts = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"), F.sum("kids").alias("kids"))
+    """(host, path, pages, l, importance): the units of every host's site style tree; path is the hash of the unit's path."""
+    seen = pages.select("url", "html").mapInArrow(lean(_observe), "host string, path long, kind int, value long, key long, kids long")
+    once = seen.groupBy("host", "path", "kind", "value", "key").agg(F.min("kids").alias("kids"))
+    counts = once.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"), F.sum("kids").alias("kids"))
     by = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("cl"), F.sum("kids").alias("kids"))
-    entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("cl") / F.col("n")) / F.log("n")).otherwise(F.lit(1.0))
-    by = by.withColumn("h", entropy).groupBy("host", "path").agg(F.max("n").alias("pages"), (F.max("kids") / F.max("n")).alias("l"), F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("hp"), F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("hc"))
+    m = F.col("n") + PRIOR_PAGES
+    by = by.withColumn("h", 1 - F.col("cl") / (m * F.log(m)))
+    by = by.groupBy("host", "path").agg(F.max("n").alias("pages"), (F.max("kids") / F.max("n")).alias("l"), F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("hp"), F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("hc"))
     g = F.pow(F.lit(GAMMA), F.col("l"))
-    return by.select("host", "path", "pages", ((1 - g) * F.col("hp") + g * F.col("hc")).alias("importance"))
+    return by.select("host", "path", "pages", "l", ((1 - g) * F.col("hp") + g * F.col("hc")).alias("importance"))
 
 
 def _extract(batches):
     for b in batches:
-        noisy = [frozenset(x or ()) for x in b.column(3).to_pylist()] if b.num_columns > 3 else [frozenset()] * b.num_rows
-        text = [Page(source).text(bad) if source else "" for source, bad in zip(b.column(2).to_pylist(), noisy, strict=True)]
+        judged = [{x["path"]: x["importance"] for x in xs or ()} for xs in b.column(3).to_pylist()]
+        text = [Page(source).text(bad) if source else "" for source, bad in zip(b.column(2).to_pylist(), judged, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
 
@@ -221,11 +285,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page, judged with its host's style tree."""
     pages = keyed(pages, "page_id", "url", "html")
     tree = style_tree(pages)
-    noisy = cut(tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).groupBy("host").agg(F.collect_set("path").alias("noisy")))
-    total = noisy.agg(F.sum(F.size("noisy") * 8 + 64)).first()[0] or 0
-    side = F.broadcast(noisy) if total <= 24 << 20 else noisy
-    joined = pages.withColumn("host", F.expr(HOST_SQL)).join(side, "host", "left").select("page_id", "url", "html", "noisy")
-    out = joined.mapInArrow(_extract, "page_id long, url string, text string")
+    doubtful = cut(tree.where(F.col("importance") < DOUBT).groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("judged")))
+    total = doubtful.agg(F.sum(F.size("judged") * 16 + 64)).first()[0] or 0
+    side = F.broadcast(doubtful) if total <= 24 << 20 else doubtful
+    joined = pages.withColumn("host", F.expr(HOST_SQL)).join(side, "host", "left").select("page_id", "url", "html", "judged")
+    out = joined.mapInArrow(lean(_extract), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
