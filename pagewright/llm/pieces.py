@@ -10,11 +10,12 @@ non-spaces). Forward and backward Viterbi scores of a batch's distinct words com
 length. An edge off the best path gives, by forward + cost + backward, the best path through it, so their minimum is exactly
 what a word's second-best segmentation costs more. Only the n - 1 words of a text with the smallest such excess can take
 part in its n best; for these, A* runs backward from the word's end, with the forward Viterbi scores as exact heuristic, and
-a heap combines the words' lists. Equal costs count as different segmentations; which of them come first is settled by
-the pieces' ids.
+a heap combines the words' lists. Equal costs count as different segmentations; the search takes the one nearest to the word's
+start first, and the best is the one that Viterbi takes, whose last pieces are shortest.
 
 Edge cases: a null text counts as empty; an empty text has no ids, cost 0 and decodes to itself; U+2581 in a text is encoded
-by its bytes, so it survives; very long words take a plain loop of the same recursion. Rows with a null doc_id are left out.
+by its bytes, so it survives; words over LONG characters, of any length, take plain loops of the same recursion, linear in their
+length. Rows with a null doc_id are left out, repeated rows all stay.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, table
+from .common import keyed, lean, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Best segmentations of a text that the query asks for.
 N_BEST = 4
 #: Characters handled at once; words longer than LONG take the plain loop.
 CHARS, LONG = 1 << 20, 40
-#: Words in the memo of a Python worker.
-KEEP = 200_000
+#: Words in the memo of a Python worker, and their characters.
+KEEP, KEEP_CHARS = 200_000, 8 << 20
 INF = np.int64(1) << 50
 WORD = re.compile(r" *[^ ]+| +")
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -48,6 +49,7 @@ class Known:
     def __init__(self):
         self.names: dict[str, int] = {}
         self.words: list[str] = []
+        self.chars = 0
         self.ids: list[tuple[int, ...]] = []
         self.cost, self.excess, self.lists = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
 
@@ -110,21 +112,59 @@ class Pieces:
                 b = self.fallback(word[start])
                 yield start, self.byte_cost * len(b), tuple(b)
 
-    def nbest(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The n cheapest segmentations: backward A* whose heuristic is the forward Viterbi cost."""
-        into = [list(self.edges(word, e)) for e in range(len(word) + 1)]
-        forward = [0] * (len(word) + 1)
+    def forward(self, word: str) -> tuple[list[int], list[int]]:
+        """For each end the cost of the best way there, and the length of its last edge (the shortest of equal ones)."""
+        best, last = [0] * (len(word) + 1), [0] * (len(word) + 1)
         for e in range(1, len(word) + 1):
-            forward[e] = min(forward[s] + c for s, c, _ in into[e])
-        agenda, out, count = [(forward[-1], (), 0, len(word), 0)], [], 0
+            best[e], last[e] = min((best[s] + c, e - s) for s, c, _ in self.edges(word, e))
+        return best, last
+
+    def long(self, word: str) -> tuple[tuple[int, ...], int, int]:
+        """(ids of the best segmentation, its cost, what the second-best costs more), in time linear in the word's length."""
+        best, last = self.forward(word)
+        n, back = len(word), [int(INF)] * len(word) + [0]
+        for e in range(n, 0, -1):
+            for s, c, _ in self.edges(word, e):
+                back[s] = min(back[s], c + back[e])
+        on, e, ids = {}, n, []
+        while e:
+            on[e] = e - last[e]
+            ids.append(next(i for s, _, i in self.edges(word, e) if s == on[e]))
+            e = on[e]
+        second = min((best[s] + c + back[e] for e in range(1, n + 1) for s, c, _ in self.edges(word, e) if on.get(e) != s), default=INF)
+        return tuple(itertools.chain.from_iterable(reversed(ids))), best[n], INF if second >= INF else second - best[n]
+
+    def nbest(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The n cheapest segmentations: backward A* whose heuristic is the forward Viterbi cost.
+
+        An agenda entry is an arrival by one edge; when it is taken, the next dearer edge from the same place enters, so entries
+        grow with the edges taken. Of equal costs the arrival nearest to the word's start comes first. Segmentations are
+        linked lists that share their tails. A place is left n times at most.
+        """
+        best, _ = self.forward(word)
+        agenda, out, count, left = [(best[-1], len(word), 0, 0, None, None)], [], 0, {}
         while agenda and len(out) < n:
-            total, tail, _, at, behind = heapq.heappop(agenda)
+            _, at, _, behind, tail, rest = heapq.heappop(agenda)
+            if rest is not None:
+                ways, k, base, link = rest
+                if k < len(ways):
+                    count += 1
+                    total, s, c, ids = ways[k]
+                    heapq.heappush(agenda, (base + total, s, count, base + c, (ids, link), (ways, k + 1, base, link)))
             if at == 0:
-                out.append((total, tail))
+                ids, link = [], tail
+                while link:
+                    ids += link[0]
+                    link = link[1]
+                out.append((behind, tuple(ids)))
+                continue
+            left[at] = left.get(at, 0) + 1
+            if left[at] > n:
                 continue
-            for s, c, ids in into[at]:
-                count += 1
-                heapq.heappush(agenda, (behind + c + forward[s], ids + tail, count, s, behind + c))
+            ways = sorted((c + best[s], s, c, ids) for s, c, ids in self.edges(word, at))
+            count += 1
+            total, s, c, ids = ways[0]
+            heapq.heappush(agenda, (behind + total, s, count, behind + c, (ids, tail), (ways, 1, behind, tail)))
         return out
 
     def viterbi(self, words: list[str]):
@@ -137,10 +177,7 @@ class Pieces:
         for n, members in by.items():
             if n > LONG:
                 for k in members:
-                    best = self.nbest(words[k], 2)
-                    ids[k], cost[k] = best[0][1], best[0][0]
-                    if len(best) > 1:
-                        excess[k] = best[1][0] - best[0][0]
+                    ids[k], cost[k], excess[k] = self.long(words[k])
                 continue
             for lo in range(0, len(members), 8192):
                 self._same_length(words, members[lo : lo + 8192], n, ids, cost, excess)
@@ -213,7 +250,7 @@ class Pieces:
 
     def encode(self, texts: list[str], n: int = 1):
         """For each text (ids of the best segmentation, [(cost, {word: ids that replace the best ones}), ...], words)."""
-        if self.known is None or len(self.known.words) > KEEP:
+        if self.known is None or len(self.known.words) > KEEP or self.known.chars > KEEP_CHARS:
             self.known = Known()
         known = self.known
         names, old = known.names, len(known.words)
@@ -225,6 +262,7 @@ class Pieces:
                 at = [names.setdefault(w, len(names)) for w in ws]
             order.append(np.array(at, np.int64))
         known.words += list(names)[old:] if old else names
+        known.chars += sum(map(len, known.words[old:]))
         ids, cost, excess = self.viterbi(known.words[old:])
         known.ids += ids
         known.cost, known.excess = np.concatenate([known.cost, cost]), np.concatenate([known.excess, excess])
@@ -242,7 +280,9 @@ class Pieces:
             for p in near:
                 w = (int(ws[p]), n)
                 if w not in known.lists:
-                    known.lists[w] = self.nbest(known.words[w[0]], n)
+                    # Of equal costs the one that Viterbi takes is the best.
+                    ways, top = self.nbest(known.words[w[0]], n), (int(known.cost[w[0]]), known.ids[w[0]])
+                    known.lists[w] = [top, *(x for x in ways if x != top)][:n]
                 choice.append(known.lists[w])
             # k-best sums of independent lists: a state is a rank for each word.
             start = (0,) * len(near)
@@ -307,12 +347,12 @@ def _encoder(shared, n: int, digest: bool):
                         other = hashlib.sha256(repr([sorted(change.items()) for _, change in ways]).encode()).hexdigest()
                         rows.append((len(best), costs, hashlib.sha256(np.array(best, "<i4").tobytes()).hexdigest(), other, ok))
                     else:
-                        rows.append((best, costs, [sorted(change.items()) for _, change in ways]))
+                        rows.append((best, costs, [sorted(change.items()) for _, change in ways], pieces.decode(best) == text))
                 if digest:
                     kinds = (pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.bool_())
                 else:
-                    kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.struct([("word", pa.int64()), ("ids", pa.list_(pa.int32()))]))))
-                    rows = [(a, c, [[{"word": p, "ids": list(i)} for p, i in w] for w in ways]) for a, c, ways in rows]
+                    kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.struct([("word", pa.int64()), ("ids", pa.list_(pa.int32()))]))), pa.bool_())
+                    rows = [(a, c, [[{"word": p, "ids": list(i)} for p, i in w] for w in ways], ok) for a, c, ways, ok in rows]
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([keys, *columns], ["doc_id", *(DIGEST if digest else FULL)])
 
@@ -320,19 +360,19 @@ def _encoder(shared, n: int, digest: bool):
 
 
 DIGEST = {"n_tokens": "long", "costs": "array<long>", "ids_sha256": "string", "changes_sha256": "string", "decoded": "boolean"}
-FULL = {"ids": "array<int>", "costs": "array<long>", "changes": "array<array<struct<word:long,ids:array<int>>>>"}
+FULL = {"ids": "array<int>", "costs": "array<long>", "changes": "array<array<struct<word:long,ids:array<int>>>>", "decoded": "boolean"}
 
 
 def encode(docs: DataFrame, model: str = MODEL, n: int = 1, digest: bool = False) -> DataFrame:
     """doc_id with the n best segmentations of every text.
 
     ids are those of the best; costs and changes have one entry a segmentation, cheapest first, a change being the words (by
-    number) whose ids differ from the best ones. digest: counts, SHA-256 of ids and changes, and whether every
+    number) whose ids differ from the best ones; decoded tells whether the ids decode to the text. digest: counts, SHA-256 of ids and changes, and whether every
     segmentation decodes to the text, in place of ids and changes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
     schema = "doc_id long, " + ", ".join(f"{k} {v}" for k, v in (DIGEST if digest else FULL).items())
-    return keyed(docs, "doc_id", "text").mapInArrow(_encoder(shared, n, digest), schema)
+    return keyed(docs, "doc_id", "text").mapInArrow(lean(_encoder(shared, n, digest)), schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
