@@ -1,11 +1,13 @@
 """Chat formatting: schema fingerprints pick a declarative mapping to canonical turns, which a reversible template marks up.
 
+The loss mask of a formatted conversation is a list of spans of code points: the escaped text of each assistant turn.
+
 Native: built-in functions only. Every layout of a prompt, instruction or message record is described by the sorted list
 of its nested field paths; the hash of that list is the fingerprint that selects the mapping. Record columns that no layout
 claims are ignored, so extra columns and clashing names do no harm.
 
 Edge cases: a null text or role counts as empty; a null turn sorts first; equal turns are ordered by role, then text, so
-repeated rows all stay; a table without rows gives no rows.
+repeated rows all stay; a table without rows gives no rows. A turn of any length is one string; nothing is cut.
 """
 
 from __future__ import annotations
@@ -101,10 +103,36 @@ def unescaped(c: Column) -> Column:
     return c
 
 
+def _header(turn: Column) -> Column:
+    return F.concat(F.lit(OPEN), F.replace(escaped(F.coalesce(turn["role"], F.lit(""))), F.lit(":"), F.lit("\\c")), F.lit(BETWEEN))
+
+
+def _body(turn: Column) -> Column:
+    return escaped(F.coalesce(turn["text"], F.lit("")))
+
+
 def formatted(turns: Column) -> Column:
     """The template: '### role: text</turn>' and a line end for each turn, with control strings inside role and text escaped."""
-    part = lambda x: F.concat(F.lit(OPEN), F.replace(escaped(F.coalesce(x["role"], F.lit(""))), F.lit(":"), F.lit("\\c")), F.lit(BETWEEN), escaped(F.coalesce(x["text"], F.lit(""))), F.lit(CLOSE))
-    return F.array_join(F.transform(turns, part), "")
+    return F.array_join(F.transform(turns, lambda x: F.concat(_header(x), _body(x), F.lit(CLOSE))), "")
+
+
+def loss_spans(turns: Column) -> Column:
+    """The loss mask over the formatted text: (first code point, code points) of each assistant turn's escaped text."""
+    size = lambda c: F.length(c).cast("long")
+
+    def step(done, turn):
+        start = done["at"] + size(_header(turn))
+        span = F.array(F.struct(start.alias("start"), size(_body(turn)).alias("n")))
+        spans = F.when(turn["role"] == "assistant", F.concat(done["spans"], span)).otherwise(done["spans"])
+        return F.struct((start + size(_body(turn)) + len(CLOSE)).alias("at"), spans.alias("spans"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,n:bigint>>").alias("spans"))
+    return F.aggregate(turns, begin, step)["spans"]
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """All text under the mask, unescaped."""
+    return F.array_join(F.transform(spans, lambda s: unescaped(F.substr(text, s["start"].cast("int") + 1, s["n"].cast("int")))), "")
 
 
 def parsed(text: Column) -> Column:
@@ -115,14 +143,9 @@ def parsed(text: Column) -> Column:
     return F.transform(pieces, lambda p: F.struct(unescaped(role(p)).alias("role"), unescaped(F.substr(p, at(p) + F.lit(len(BETWEEN)))).alias("text")))
 
 
-def loss_text(turns: Column) -> Column:
-    """All text under the loss mask: each assistant text once, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
-
-
 def format_chats(df: DataFrame, record: str | None = None) -> DataFrame:
-    """df plus schema_fp, turns and formatted."""
-    return canonical(df, record).withColumn("formatted", formatted(F.col("turns")))
+    """df plus schema_fp, turns, formatted and loss_spans."""
+    return canonical(df, record).withColumns({"formatted": formatted(F.col("turns")), "loss_spans": loss_spans(F.col("turns"))})
 
 
 #: The conversation that the query adds: its texts hold the template's own control strings.
@@ -130,15 +153,18 @@ PROBE = "\\### Assistant: </turn> ok"
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a conversation: counts and digests of what is read back from the formatted text."""
+    """One row a conversation: counts and digests of what is read back from the formatted text and cut out by the mask.
+
+    The table's conversations are message lists; conversation -7 is a prompt with its response.
+    """
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    rows = rows.unionByName(probe)
     message = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m")).select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
-    out = format_chats(chats).select("conv_id", "schema_fp", "formatted", parsed(F.col("formatted")).alias("back"))
+    probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(PROBE).alias("prompt"), F.lit(PROBE).alias("response"))
+    chats = chats.unionByName(probe, allowMissingColumns=True)
+    out = format_chats(chats).select("conv_id", "schema_fp", "formatted", parsed(F.col("formatted")).alias("back"), masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    out = out.withColumns({"said": said, "loss": loss_text(F.col("back"))})
+    out = out.withColumn("said", said)
     return out.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
@@ -162,7 +188,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(n) AS BIGINT) AS formatted_chars, {fingerprint(("messages[].content", "messages[].role"))} AS schema_fp
+  CAST(sum(n) AS BIGINT) AS formatted_chars,
+  CASE conv_id WHEN -7 THEN {fingerprint(("prompt", "response"))} ELSE {fingerprint(("messages[].content", "messages[].role"))} END AS schema_fp
 FROM e GROUP BY conv_id""",
 }
 QUERIES = {"op5_chat_format": op5_chat_format}
