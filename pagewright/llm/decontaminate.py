@@ -12,7 +12,8 @@ Items are taken in blocks of bounded size, each held by every task while it read
 
 Edge cases: items of one to four words have one shingle, all their words, and are found as a run of these words in a
 document; items without words match nothing. Null and empty documents match nothing. Rows with a null id are left out;
-repeated item rows give one result, repeated documents too.
+repeated item rows give one result, repeated documents too; where rows with one item_id differ the largest text counts, where rows
+with one doc_id do, the one with most in common. Very long documents are searched whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import keyed, table
+from .common import keyed, lean, table
 
 HASHES = 128
 #: Items held by a task at once (about 60 shingles each: 20 MB).
@@ -127,20 +128,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int =
     """(doc_id, item_id, n_shingles, n_common): documents that hold num / den or more of an item's distinct shingles."""
     spark = docs.sparkSession
     docs = keyed(docs, "doc_id", "text")
-    items = keyed(benchmark, "item_id", "text").dropDuplicates(["item_id"])
+    items = keyed(benchmark, "item_id", "text").groupBy("item_id").agg(F.max("text").alias("text"))
     schema, found = "doc_id long, item_id long, n_shingles long, n_common long", []
     blocks = -(-items.count() // BLOCK)
     for b in range(blocks):
         # A block of the stated query set, its size bounded by BLOCK on average; the loop runs over blocks, not rows.
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
         block = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows]))
-        found.append(docs.mapInArrow(_finder(block, num, den), schema))
+        found.append(docs.mapInArrow(lean(_finder(block, num, den)), schema))
     if not found:
         return spark.createDataFrame([], schema)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.dropDuplicates(["doc_id", "item_id"])
+    return out.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_common").alias("n_common"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

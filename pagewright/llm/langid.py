@@ -10,7 +10,7 @@ The classifier is fitted on a bounded sample: at most PER_LANGUAGE labelled rows
 hash of their key; LANDMARKS of them are landmarks. Whole texts are used for fitting and for scoring.
 
 Edge cases: a text that is null or has no letter gets 'und' and score 0; without labelled rows every text does. Null labels
-are not learned. Repeated rows are scored alike. Other columns are never read.
+are not learned. Repeated rows are scored alike. Other columns are never read. A very long text is folded and counted whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, table
+from .common import bounded, keyed, lean, table
 
 PER_LANGUAGE, LANDMARKS, RIDGE, PLACES, ORDERS = 300, 256, 1e-2, 1 << 17, 3
 #: Rows scored by one pair of matrix products.
@@ -34,7 +34,14 @@ _FOLD[[c for c in range(1 << 16) if not chr(c).isalpha()]] = 32
 def grams(text: str) -> np.ndarray:
     """The distinct places of a text's n-grams, 1 to ORDERS."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _FOLD[np.minimum(c, 0xFFFF)]
+    far = c > 0xFFFF
+    if far.any():
+        high = c[far]
+        letters = [x for x in np.unique(high).tolist() if chr(x).isalpha()]
+        c = _FOLD[np.where(far, 0, c)]
+        c[far] = np.where(np.isin(high, letters), high, 32)
+    else:
+        c = _FOLD[c]
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
     c = c[keep]
@@ -124,12 +131,14 @@ def _scorer(shared):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keyed(docs, "doc_id", "text").mapInArrow(_scorer(shared), "doc_id long, lang_pred string, score double")
+    return keyed(docs, "doc_id", "text").mapInArrow(lean(_scorer(shared)), "doc_id long, lang_pred string, score double")
 
 
 def keep_languages(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of docs, all columns, whose text has a letter and whose predicted language scores least or more."""
+    """The rows of docs, all columns, whose text has a letter and whose predicted language scores least or more; a null lang
+    takes the predicted one."""
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    named = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches):
         for b in batches:
@@ -137,10 +146,14 @@ def keep_languages(docs: DataFrame, model: Model, least: float) -> DataFrame:
                 part = b.slice(lo, ROWS)
                 pair = pa.RecordBatch.from_arrays([part.column(place)], ["text"])
                 for s in _scorer(shared)([pair]):
+                    if named is not None:
+                        columns = part.columns
+                        columns[named] = pc.coalesce(columns[named], s.column("lang_pred"))
+                        part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
                     keep = pc.and_(pc.not_equal(s.column("lang_pred"), "und"), pc.greater_equal(s.column("score"), least))
                     yield part.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(lean(run), docs.schema)
 
 
 def held_out(key):
