@@ -102,10 +102,27 @@ def test_long_texts_are_cut_into_stretches(monkeypatch):
     assert windows(at, size, h) == windows(*whole[1:])
 
 
-def test_merge_spans():
-    spans = np.array([[5, 9], [0, 3], [3, 4], [8, 12], [20, 21]])
-    assert suffixdedup.merge_spans(spans).tolist() == [[0, 4], [5, 12], [20, 21]]
-    assert suffixdedup.merge_spans(np.zeros((0, 2), int)).tolist() == []
+def test_merged_spans():
+    doc, lo, hi = np.array([7, 7, 7, 7, 7, -2]), np.array([5, 0, 3, 8, 20, 8]), np.array([9, 3, 4, 12, 21, 11])
+    assert [x.tolist() for x in suffixdedup.merged_spans(doc, lo, hi)] == [[-2, 7, 7, 7], [8, 0, 5, 20], [11, 4, 12, 21]]
+    none = np.zeros(0, int)
+    assert [len(x) for x in suffixdedup.merged_spans(none, none, none)] == [0, 0, 0]
+
+
+def test_rivals_are_the_parts_that_share_a_minimizer(monkeypatch):
+    rng = np.random.default_rng(11)
+    core = rng.integers(97, 123, (40, 50)).astype(np.uint8)
+    rows = [core[k].tobytes() + bytes(rng.integers(97, 123, 5).astype(np.uint8)) for k in [*range(40), *range(0, 40, 4)]]
+    data, offsets = np.frombuffer(b"".join(rows), np.uint8), np.arange(len(rows) + 1) * 55
+    row, at, size, h = suffixdedup.pieces(data, offsets)
+    parts = list(dict.fromkeys(rows[r][a : a + n] for r, a, n in zip(row, at, size, strict=True)))
+    of = {rows[r][a : a + n]: int(x) for r, a, n, x in zip(row, at, size, h, strict=True)}
+    times: dict[int, int] = {}
+    for x in of.values():
+        times[x] = times.get(x, 0) + 1
+    for stretch in (1 << 20, 200):
+        monkeypatch.setattr(suffixdedup, "STRETCH", stretch)
+        assert suffixdedup.rivals(parts).tolist() == [k for k, p in enumerate(parts) if times[of[p]] > 1]
 
 
 @settings(max_examples=100, deadline=None)
@@ -280,12 +297,40 @@ def test_n_best_segmentations(model):
         for n in (1, 2, 5):
             best, ways, ws = next(model.encode([t], n))
             assert [c for c, _ in ways] == [c for c, _ in want[:n]] and model.decode(best) == t
-            own = [model.nbest(w, 1)[0][1] for w in pieces.WORD.findall(" " + t)]
+            own = [model.known.ids[model.known.names[w]] for w in pieces.WORD.findall(" " + t)]
             whole = [tuple(i for k, x in enumerate(own) for i in change.get(k, x)) for _, change in ways]
             assert len(set(whole)) == len(ways) and all(model.decode(x) == t for x in whole)
             assert all(sum(int(model.cost[i]) for i in x) == c for x, (c, _) in zip(whole, ways, strict=True))
 
 
+def test_long_words_have_the_best_costs(model):
+    rng = random.Random(4)
+    for _ in range(20):
+        word = "".join(rng.choice("abetñ日\u2581") for _ in range(rng.randint(41, 90)))
+        costs = [[0]]  # the five cheapest ways to each end, counted as different
+        for e in range(1, len(word) + 1):
+            costs.append(sorted(c + x for s, c, _ in model.edges(word, e) for x in costs[s])[:5])
+        found = model.nbest(word, 5)
+        assert [c for c, _ in found] == costs[-1] and len(set(found)) == len(found)
+        ids, cost, excess = model.long(word)
+        assert (cost, cost + excess) == tuple(costs[-1][:2]) and sum(int(model.cost[i]) for i in ids) == cost
+        assert b"".join(model.raw[i] for i in ids).decode() == word
+
+
+def test_a_million_characters_without_a_space(model):
+    import time
+
+    rng = random.Random(9)
+    took = []
+    for n in (125_000, 1_000_000):
+        t = "".join(rng.choices("etaoinshrdlu", k=n))
+        began = time.process_time()
+        best, ways, _ = next(model.encode([t], 2))
+        took.append(time.process_time() - began)
+        assert model.decode(best) == t and len(ways) == 2 and ways[0][0] <= ways[1][0]
+    assert took[1] < 25 * took[0]
+
+
 def test_long_words_and_empty_texts(model):
     t = "x" * 300 + " " + " " * 50
     best, ways, _ = next(model.encode([t], 2))
@@ -358,6 +403,25 @@ def test_main_text():
     assert styletree.Page("<main>in</main>out").text() == "in"
 
 
+def test_main_text_of_forms_and_declared_classes():
+    assert styletree.Page("<body><form id=f><div><p>Real article text of the page</p><input value=x><button>Go</button></div></form>").text() == "Real article text of the page"
+    body = "<p>" + "many words of the article " * 9 + "</p>"
+    text = ("many words of the article " * 9).strip()
+    for noise in ("<div class='ad-box'>Buy</div>", "<ul class=menu><li>Home</ul>", "<div id=comments><p>" + "me too " * 99 + "</div>", "<aside>x</aside>", "<div hidden>x</div>", "<select><option>x</select>"):
+        assert styletree.Page(f"<article>{body}{noise}</article><div>outside</div>").text() == text
+    assert styletree.Page(f"<article>{body}<div class='related-work'>Others found this</div></article>").text() == text + "\nOthers found this"
+    assert styletree.Page(f"<div class='ad-wrapper'>{body}</div>").text() == text
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 20000 + "deep" + "</div>" * 20000, "<p><b>" * 20000 + "deep", "<ul><li>x" * 5000, "<p>deep " * 100000, "deep</i>" * 50000):
+        began = time.time()
+        p = styletree.Page(page)
+        assert p.text() and list(p.units()) and time.time() - began < 5
+
+
 def test_hosts():
     assert [styletree.host(u) for u in ("http://u@A.b:80/x", "//c.d?x", None, "x/y", "https://e.f#t")] == ["a.b:80", "c.d", "", "", "e.f"]
 
