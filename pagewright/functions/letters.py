@@ -44,6 +44,7 @@ def without_marks(marks: str) -> tuple[str, str, list[tuple[str, str]]]:
 
 
 ACUTE, STRESS = without_marks("́"), without_marks("́̀")
+ALL_MARKS = without_marks("".join(chr(c) for c in range(0x300, 0x370)))
 
 
 def strip_acute(c: Column) -> Column:
@@ -125,11 +126,21 @@ def bulgarian_letters(c: Column) -> Column:
     return F.when(F.regexp(c, F.lit(CYR)), fixed).otherwise(c)
 
 
+def name_key(c: Column) -> Column:
+    """A key that sorts names without regard to case and combining marks."""
+    for ch, base in ALL_MARKS[2]:
+        c = F.replace(c, F.lit(ch), F.lit(base))
+    return F.replace(F.lower(F.translate(c, *ALL_MARKS[:2])), F.lit("ß"), F.lit("ss"))
+
+
+# Patterns of word and number tokens and of joined line ends, as the survey gives them.
 def words(c: Column, lower: bool = True) -> Column:
     """Word tokens of a text: stress marks dropped, hyphenated line ends joined, ё as е."""
-    for ch, plain in STRESS[2]:
-        c = F.replace(c, F.lit(ch), F.lit(plain))
-    c = F.translate(c, *STRESS[:2])
+    plain = c
+    for ch, base in STRESS[2]:
+        plain = F.replace(plain, F.lit(ch), F.lit(base))
+    # Marks are outside ASCII; most texts need no look at each of their characters.
+    c = F.when(F.regexp(c, F.lit(r"[^\x00-\x7F]")), F.translate(plain, *STRESS[:2])).otherwise(c)
     c = F.regexp_replace(c, r"[¬­-]\s*\n\s*(?=[\p{L}\p{Nl}\p{No}])", "")
     c = F.translate(c, "ёЁ", "еЕ")
     return F.regexp_extract_all(F.lower(c) if lower else c, F.lit(r"([\p{L}\p{Nl}\p{No}]+|\p{Nd}+)"), 1)

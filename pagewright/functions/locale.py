@@ -68,6 +68,11 @@ def negotiate(preferred: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(preferred, one), lambda x: x.isNotNull()), F.lit(0)), F.lit("en"))
 
 
+def chosen(code: Column) -> Column:
+    """The interface language: the code, if there is a catalog for it, else en."""
+    return F.when(code.isin(*CODES), code).otherwise(F.lit("en"))
+
+
 def translate_text(catalog: Column, text: Column) -> Column:
     """catalog: map of a text to its forms; the last form, or the text itself."""
     return F.coalesce(F.element_at(F.try_element_at(catalog, text), -1), text)

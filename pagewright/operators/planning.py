@@ -86,6 +86,30 @@ def unfinished(tasks: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("doc_
     return tasks.join(done.select(*keys), list(keys), "left_anti")
 
 
+def required(tasks: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """The tasks; the run fails at the first whose output is missing."""
+    there = done.select(*keys, F.lit(True).alias("_there")).distinct()
+    missing = F.concat(F.lit("no output for "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))
+    checked = tasks.join(there, list(keys), "left").withColumn("_there", F.when(F.col("_there"), F.lit(True)).otherwise(F.raise_error(missing).cast("boolean")))
+    return checked.where("_there").drop("_there")
+
+
+def threads(jobs: Column, cpus: Column) -> Column:
+    """struct(jobs, heavy): threads of light stages (asked for, else the machine's, else 4), and workers of heavy models."""
+    n = F.coalesce(F.nullif(jobs, F.lit(0)), F.nullif(cpus, F.lit(0)), F.lit(4)).cast("int")
+    return F.struct(n.alias("jobs"), F.floor(n / 6).cast("int").alias("heavy"))
+
+
+# Detector thresholds for text pixels and boxes on receipts.
+RECEIPT_DETECTOR = (0.2, 0.45)
+
+
+def detector(profile: Column, pixels: Column, boxes: Column) -> Column:
+    """struct(pixels, boxes): thresholds asked for, else those of the profile (null: the engine's own)."""
+    own = [F.when(profile == "receipt", F.lit(x)) for x in RECEIPT_DETECTOR]
+    return F.struct(F.coalesce(pixels, own[0]).alias("pixels"), F.coalesce(boxes, own[1]).alias("boxes"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
     """old with the new rows in place of those with their keys."""
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)

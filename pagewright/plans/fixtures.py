@@ -76,8 +76,10 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import lexicon as X
 
     own = X.derive(table(spark, sf_dir, "documents").withColumn("lang", F.lit("xx")))
-    twin = own.select(F.lit("yy").alias("lang"), F.translate("word", *NOISE).alias("word"), (F.col("zipf") - 0.5).alias("zipf")).where(L.script(F.col("word")) == "cyr")
-    return own.unionByName(twin)
+    spelt = F.translate("word", *NOISE)
+    row = lambda lang, word, zipf: F.struct(F.lit(lang).alias("lang"), word.alias("word"), zipf.alias("zipf"))
+    twin = F.when(L.script(spelt) == "cyr", F.array(row("yy", spelt, F.col("zipf") - 0.5))).otherwise(F.array().cast("array<struct<lang:string,word:string,zipf:double>>"))
+    return own.select(F.explode(F.concat(F.array(row("xx", F.col("word"), F.col("zipf"))), twin)).alias("r")).select("r.*")
 
 
 SQL_LEXICON = f"""

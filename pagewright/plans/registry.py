@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that hold QUERIES (name -> function of spark and folder) and ORACLE (name -> DuckDB SQL).
-MODULES = ("scalars", "tables")
+MODULES = ("scalars", "tables", "pagequeries")
 
 
 def _merged(what: str) -> dict:

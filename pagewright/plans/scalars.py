@@ -129,8 +129,10 @@ ORACLE = {
     "t28_translate": "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'all filled' ELSE o_orderstatus END AS shown FROM orders",
     "f13_known": with_words(rf""", {fx.SQL_LEXICON},
 c AS (SELECT t, {_core} AS core FROM ft),
-p AS (SELECT t, part, {L.sql_script('part')} AS s FROM (SELECT t, unnest(list_filter(string_split(core, '-'), lambda p: p <> '')) AS part FROM c)),
-k AS (SELECT t, bool_and(length(part) = 1 OR s = 'cyr' AND coalesce(zipf, 0) >= 1.5 OR s = 'lat' AND coalesce(zipf, 0) > 2.6) AS ok FROM p LEFT JOIN lex ON lex.word = part AND lex.lang = CASE s WHEN 'cyr' THEN 'yy' WHEN 'lat' THEN 'xx' END GROUP BY t)
+p AS MATERIALIZED (SELECT t, part, {L.sql_script('part')} AS s FROM (SELECT t, unnest(list_filter(string_split(core, '-'), lambda p: p <> '')) AS part FROM c)),
+q AS MATERIALIZED (SELECT t, part AS word, s, CASE s WHEN 'cyr' THEN 'yy' WHEN 'lat' THEN 'xx' ELSE '' END AS lang FROM p),
+lx AS MATERIALIZED (SELECT lang, word, zipf FROM lex),
+k AS MATERIALIZED (SELECT t, bool_and(length(word) = 1 OR s = 'cyr' AND coalesce(zipf, 0) >= 1.5 OR s = 'lat' AND coalesce(zipf, 0) > 2.6) AS ok FROM q LEFT JOIN lx USING (lang, word) GROUP BY t)
 SELECT t, CASE WHEN core = '' THEN false WHEN regexp_matches(core, '^\p{{Nd}}+$') OR regexp_matches(core, '{L.ROMAN[0]}') AND regexp_matches(core, '{L.ROMAN[1]}') THEN true
  WHEN regexp_matches(core, '\p{{Nd}}') AND regexp_matches(core, '[Ѐ-ӿA-Za-z]') AND NOT regexp_matches(core, '^\p{{Nd}}+(st|nd|rd|th)$') THEN false ELSE coalesce(ok, false) END AS known
 FROM c LEFT JOIN k USING (t)"""),

@@ -256,7 +256,7 @@ QUERIES = {
     "a1_word_count": lambda spark, d: fx.words(spark, d).groupBy("page").agg(F.count("*").alias("words")),
     "a9_lines": lambda spark, d: sinks.lines(_doc(fx.words(spark, d))).select("doc_id", "line_ix", "line"),
     "a11_line_boxes": lambda spark, d: fx.words(spark, d).groupBy("page", "line_ix").agg(*(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1")))),
-    "f7_noise": lambda spark, d: fx.engine_a(fx.words(spark, d)).where((F.col("conf") >= 60) | L.has_letters(F.col("t"))).select("page", "ix", "t"),
+    "f7_noise": lambda spark, d: fx.engine_a(fx.words(spark, d)).where(pages.no_noise(F.col("conf") - 40, F.col("t"))).select("page", "ix", "t"),
     "a3_geometry": lambda spark, d: planning.geometry(geometry(spark, d)).select("doc_id", "page", "median_w", "p95_h", F.round("eff_dpi", 6).alias("eff_dpi")),
     "f4_profile": lambda spark, d: planning.profile(geometry(spark, d)), "a5_sampled_height": lambda spark, d: planning.sampled_height(geometry(spark, d)),
     "f5_page_size": lambda spark, d: table(spark, d, "part").select("p_partkey", planning.page_size(F.concat(F.col("p_size").cast("string"), F.lit(".5x"), F.col("p_partkey").cast("string"), F.lit("in"))).alias("s")).select("p_partkey", "s.*"),
@@ -273,7 +273,7 @@ ORACLE = {
     "word_f1": f"WITH {_bag.format(ref=L.sql_words('text'), hyp=L.sql_words(fx.SQL_MISREAD))}, r AS (SELECT d.doc_id, coalesce(nr, 0) AS nr, coalesce(c, 0) / greatest(1, coalesce(nr, 0)) AS rec, coalesce(c, 0) / greatest(1, coalesce(nh, 0)) AS prec FROM documents d LEFT JOIN s USING (doc_id)) SELECT doc_id, CAST(nr AS BIGINT) AS words, round(rec, 6) AS word_recall, round(prec, 6) AS word_precision, round(2 * rec * prec / greatest(1e-9, rec + prec), 6) AS word_f1 FROM r",
     "a14_number_recall": f"WITH {_bag.format(ref=L.sql_numbers('text'), hyp=L.sql_numbers(fx.SQL_MISREAD))} SELECT d.doc_id, CASE WHEN coalesce(nr, 0) > 0 THEN round(c / nr, 6) ELSE 1.0 END AS num_recall FROM documents d LEFT JOIN s USING (doc_id)",
     "a15_row_accuracy": f"WITH {_ROWS}, h AS (SELECT l_orderkey, {L.sql_words('hl')} AS words, {L.sql_numbers('hl')} AS nums FROM (SELECT l_orderkey, label || ' ' || CASE WHEN l_linenumber % 7 = 3 THEN substr(v, 2) ELSE v END AS hl FROM li)), w AS (SELECT l_orderkey, l_linenumber, label, v FROM li), o AS (SELECT w.l_orderkey, w.l_linenumber, w.v, bool_or(len(list_filter({L.sql_words('w.label')}, lambda x: NOT list_contains(h.words, x))) = 0 AND list_contains(h.nums, w.v)) AS ok FROM w JOIN h USING (l_orderkey) GROUP BY w.l_orderkey, w.l_linenumber, w.v, w.label) SELECT l_orderkey, round(count(*) FILTER (ok) / count(*), 6) AS row_acc FROM o GROUP BY l_orderkey",
-    "j1_best_partner": with_words(f", c AS (SELECT a.page, a.ix, b.ix AS partner, {_ox} / greatest(1, a.x1 - a.x0, b.x1 - b.x0) AS v FROM fa a JOIN {_near.format('fb')} b ON a.page = b.page AND a.line_ix = b.nl WHERE {_tall}), k AS (SELECT *, row_number() OVER (PARTITION BY page, ix ORDER BY v DESC, partner) AS r FROM c WHERE v >= 0.4) SELECT fa.page, fa.ix, k.partner, round(k.v, 6) AS overlap FROM fa LEFT JOIN k ON k.page = fa.page AND k.ix = fa.ix AND r = 1"),
+    "j1_best_partner": with_words(f", c AS (SELECT a.page, a.ix, b.ix AS partner, {_ox} / greatest(1, a.x1 - a.x0, b.x1 - b.x0) AS v FROM fa a JOIN {_near.format('fb')} b ON a.page = b.page AND a.line_ix = b.nl WHERE {_tall}), k AS MATERIALIZED (SELECT page, ix, max(v) AS v, arg_min(partner, struct_pack(a := -v, b := partner)) AS partner FROM c WHERE v >= 0.4 GROUP BY page, ix) SELECT fa.page, fa.ix, k.partner, round(k.v, 6) AS overlap FROM fa LEFT JOIN k USING (page, ix)"),
     "j2_covered_words": with_words(f", w AS (SELECT * REPLACE (x1 + 60 AS x1) FROM fa) SELECT a.page, a.ix, string_agg(CAST(b.ix AS VARCHAR), ',' ORDER BY b.x0, b.ix) AS parts FROM w a JOIN {_near.format('fb')} b ON a.page = b.page AND a.line_ix = b.nl WHERE {_tall} AND {_ox} >= 0.6 * greatest(1, b.x1 - b.x0) GROUP BY a.page, a.ix"),
     "j4_uncovered": with_words(f" SELECT page, ix FROM fb a WHERE NOT EXISTS (SELECT 1 FROM {_near.format('fa')} b WHERE a.page = b.page AND a.line_ix = b.nl AND conf >= 45 AND {_cover})"),
     "j5_number_not_there": with_words(f" SELECT page, ix, t FROM fb a WHERE NOT EXISTS (SELECT 1 FROM {_near.format('fa')} b WHERE a.page = b.page AND a.line_ix = b.nl AND conf >= 45 AND {_cover} AND trim(a.t, '(),;:') = trim(b.t, '(),;:'))"),

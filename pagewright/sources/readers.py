@@ -32,11 +32,12 @@ def is_image(path: Column) -> Column:
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, content, page): the images of a folder, numbered in natural order of their names."""
+    """(path, length, content, page): images, numbered in natural order of their names within their folder."""
     from pyspark.sql import Window
 
     found = spark.read.format("binaryFile").load(folder).where(is_image(F.col("path")))
-    order = found.select("path").withColumn("page", F.row_number().over(Window.orderBy(L.natural_key(F.col("path")), "path")))
+    inside = Window.partitionBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).orderBy(L.natural_key(F.col("path")), "path")
+    order = found.select("path").withColumn("page", F.row_number().over(inside))
     return found.join(order, "path").select("path", "length", "content", "page")
 
 
@@ -122,7 +123,7 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
 def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
     """Binary files (path, content) with their SHA-256 and whether it is the expected one (path, sha256)."""
     own = files.withColumn("own", F.sha2("content", 256))
-    return own.join(F.broadcast(expected), "path", "left").select("path", F.col("own").alias("sha256"), F.coalesce(F.col("own") == F.col("sha256"), F.lit(False)).alias("ok"))
+    return own.join(expected, "path", "left").select("path", F.col("own").alias("sha256"), F.coalesce(F.col("own") == F.col("sha256"), F.lit(False)).alias("ok"))
 
 
 class EngineMissing(RuntimeError):

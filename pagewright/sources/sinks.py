@@ -41,8 +41,13 @@ def plain_text(words: DataFrame) -> DataFrame:
     return by.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\f").alias("text"))
 
 
+def as_lines(text: Column) -> Column:
+    """A text less its last line end, which the text writer adds."""
+    return F.regexp_replace(text, r"\n\z", "")
+
+
 def write_text(words: DataFrame, path: str) -> None:
-    plain_text(words).select("text").write.option("lineSep", "").mode("overwrite").text(path)
+    plain_text(words).select(as_lines(F.col("text")).alias("text")).write.mode("overwrite").text(path)
 
 
 def pdf_text(words: DataFrame, pages: DataFrame) -> DataFrame:
@@ -102,4 +107,4 @@ def flat_words(records: DataFrame) -> DataFrame:
 def append_history(scores: DataFrame, path: str) -> None:
     """Appends (date, commit, version, sample, system, words, word_acc, char_acc), accuracies with four decimals."""
     four = lambda c: F.col(c).cast("decimal(10,4)")
-    scores.withColumns({"word_acc": four("word_acc"), "char_acc": four("char_acc")}).coalesce(1).write.mode("append").option("header", True).csv(path)
+    scores.withColumns({"word_acc": four("word_acc"), "char_acc": four("char_acc")}).write.mode("append").option("header", True).csv(path)
