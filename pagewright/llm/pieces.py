@@ -43,12 +43,24 @@ WORD = re.compile(r" *[^ ]+| +")
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+class Numbered(dict):
+    """Numbers words in the order in which they are first asked for; words lists them."""
+
+    def __init__(self):
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self.words)
+        self.words.append(word)
+        return n
+
+
 class Known:
     """Words met so far, with the results of their lattices: a memo that changes no result and is dropped beyond KEEP words."""
 
     def __init__(self):
-        self.names: dict[str, int] = {}
-        self.words: list[str] = []
+        self.names = Numbered()
+        self.words = self.names.words
         self.chars = 0
         self.ids: list[tuple[int, ...]] = []
         self.cost, self.excess, self.lists = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
@@ -82,8 +94,11 @@ class Pieces:
         self.hashes, self.owner = h[order], np.array([self.ids[t] for t in texts], np.int64)[order]
         if len(np.unique(self.hashes)) != len(texts):
             raise ValueError("pieces collide")
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        # The piece of each slot of 20 bits: -1 for none, -2 for several.
+        slot = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.slots = np.full(1 << 20, -1, np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.slots[slot[1:][slot[1:] == slot[:-1]]] = -2
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -193,11 +208,13 @@ class Pieces:
         edge, name = [None] * (most + 1), [None] * (most + 1)
         for size in range(1, most + 1):
             h = _spread((total[size:] - total[: n + 1 - size]) * down[: n + 1 - size, None]).ravel()
+            spot = self.slots[(h >> np.uint64(44)).astype(np.int64)]
+            several = np.flatnonzero(spot == -2)
+            spot[several] = np.searchsorted(self.hashes, h[several]).clip(max=len(self.hashes) - 1)
             found = np.full(len(h), -1, np.int64)
-            may = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-            spot = np.searchsorted(self.hashes, h[may]).clip(max=len(self.hashes) - 1)
-            hit = self.hashes[spot] == h[may]
-            found[may[hit]] = self.owner[spot[hit]]
+            may = np.flatnonzero(spot >= 0)
+            hit = self.hashes[spot[may]] == h[may]
+            found[may[hit]] = self.owner[spot[may[hit]]]
             price = np.where(found >= 0, self.cost[found], INF)
             if size == 1 and (found < 0).any():
                 code = c.T.ravel()
@@ -257,11 +274,7 @@ class Pieces:
         order = []
         for t in texts:
             ws = WORD.findall(" " + t) if t else []
-            at = list(map(names.get, ws))
-            if None in at:
-                at = [names.setdefault(w, len(names)) for w in ws]
-            order.append(np.array(at, np.int64))
-        known.words += list(names)[old:] if old else names
+            order.append(np.fromiter(map(names.__getitem__, ws), np.int64, len(ws)))
         known.chars += sum(map(len, known.words[old:]))
         ids, cost, excess = self.viterbi(known.words[old:])
         known.ids += ids
