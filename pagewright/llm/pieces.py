@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,8 @@ class Known:
         self.words = self.names.words
         self.chars = 0
         self.ids: list[tuple[int, ...]] = []
+        self.packed: list[bytes] = []  # ids, four bytes each
+        self.plain: list[bytes] = []  # what the ids decode to
         self.cost, self.excess, self.lists = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
 
 
@@ -278,11 +281,17 @@ class Pieces:
         known.chars += sum(map(len, known.words[old:]))
         ids, cost, excess = self.viterbi(known.words[old:])
         known.ids += ids
+        known.packed += [struct.pack(f"<{len(x)}i", *x) for x in ids]
+        known.plain += [b"".join(map(self.raw.__getitem__, x)) for x in ids]
         known.cost, known.excess = np.concatenate([known.cost, cost]), np.concatenate([known.excess, excess])
         for ws in order:
-            best = list(itertools.chain.from_iterable(map(known.ids.__getitem__, ws.tolist())))
+            best = np.frombuffer(b"".join(map(known.packed.__getitem__, ws.tolist())), "<i4")
             yield best, self._combine(ws, int(known.cost[ws].sum()), known, n), ws
 
+    def restored(self, ws: np.ndarray) -> bytes:
+        """What the best ids of the words decode to, with the space in front; ws are those that encode gave last."""
+        return b"".join(map(self.known.plain.__getitem__, ws.tolist()))
+
     def _combine(self, ws, total, known, n):
         out = [(total, {})]
         if n > 1 and len(ws):
@@ -348,26 +357,26 @@ def _encoder(shared, n: int, digest: bool):
             for texts in _parts(b.column(1)):
                 keys = b.column(0).slice(at, len(texts))
                 at += len(texts)
-                rows = []
+                rows, best_ids = [], []
                 for text, (best, ways, ws) in zip(texts, pieces.encode(texts, n), strict=True):
-                    costs = [c for c, _ in ways]
+                    costs, known = [c for c, _ in ways], pieces.known
+                    ok = pieces.restored(ws) == (" " + text if text else "").encode("utf-8", "surrogatepass")
+                    # Of the other segmentations, the words in which they differ.
+                    ok = ok and all(b"".join(map(pieces.raw.__getitem__, ids)) == known.plain[ws[p]] for _, change in ways for p, ids in change.items())
+                    changes = [sorted(change.items()) for _, change in ways]
                     if digest:
-                        # Whole text for the best; of the others, the words in which they differ.
-                        ok = pieces.decode(best) == text
-                        if len(ways) > 1:
-                            own = WORD.findall(" " + text)
-                            ok = ok and all(b"".join(pieces.raw[i] for i in ids).decode("utf-8", "surrogatepass") == own[p] for _, change in ways for p, ids in change.items())
-                        other = hashlib.sha256(repr([sorted(change.items()) for _, change in ways]).encode()).hexdigest()
-                        rows.append((len(best), costs, hashlib.sha256(np.array(best, "<i4").tobytes()).hexdigest(), other, ok))
+                        rows.append((len(best), costs, hashlib.sha256(best.tobytes()).hexdigest(), hashlib.sha256(repr(changes).encode()).hexdigest(), ok))
                     else:
-                        rows.append((best, costs, [sorted(change.items()) for _, change in ways], pieces.decode(best) == text))
+                        best_ids.append(best)
+                        rows.append((costs, [[{"word": p, "ids": list(i)} for p, i in w] for w in changes], ok))
                 if digest:
-                    kinds = (pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.bool_())
+                    first, kinds = [], (pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.bool_())
                 else:
-                    kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.struct([("word", pa.int64()), ("ids", pa.list_(pa.int32()))]))), pa.bool_())
-                    rows = [(a, c, [[{"word": p, "ids": list(i)} for p, i in w] for w in ways], ok) for a, c, ways, ok in rows]
+                    ends = pa.array(np.cumsum([0, *map(len, best_ids)]), pa.int32())
+                    first = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(best_ids).astype(np.int32)))]
+                    kinds = (pa.list_(pa.int64()), pa.list_(pa.list_(pa.struct([("word", pa.int64()), ("ids", pa.list_(pa.int32()))]))), pa.bool_())
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([keys, *columns], ["doc_id", *(DIGEST if digest else FULL)])
+                yield pa.RecordBatch.from_arrays([keys, *first, *columns], ["doc_id", *(DIGEST if digest else FULL)])
 
     return run
 

@@ -298,6 +298,7 @@ def test_n_best_segmentations(model):
             best, ways, ws = next(model.encode([t], n))
             assert [c for c, _ in ways] == [c for c, _ in want[:n]] and model.decode(best) == t
             own = [model.known.ids[model.known.names[w]] for w in pieces.WORD.findall(" " + t)]
+            assert best.tolist() == [i for x in own for i in x] and model.restored(ws).decode() == (" " + t if t else "")
             whole = [tuple(i for k, x in enumerate(own) for i in change.get(k, x)) for _, change in ways]
             assert len(set(whole)) == len(ways) and all(model.decode(x) == t for x in whole)
             assert all(sum(int(model.cost[i]) for i in x) == c for x, (c, _) in zip(whole, ways, strict=True))
@@ -335,7 +336,8 @@ def test_long_words_and_empty_texts(model):
     t = "x" * 300 + " " + " " * 50
     best, ways, _ = next(model.encode([t], 2))
     assert model.decode(best) == t and len(ways) == 2
-    assert next(model.encode([""], 3))[:2] == ([], [(0, {})]) and model.decode([]) == ""
+    best, ways, _ = next(model.encode([""], 3))
+    assert (best.tolist(), ways) == ([], [(0, {})]) and model.decode([]) == ""
 
 
 def test_language_model_separates_alphabets():
