@@ -6,14 +6,16 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and its rows times their width stay below this many bytes.
 BROADCAST_BYTES = 24 << 20
 #: Bytes of an Arrow batch at most about: a batch lies in memory several times, in the JVM and in the Python worker.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -91,6 +93,28 @@ def lean(run):
     return wrapped
 
 
+def runs(batches, *names: str):
+    """Tables of the rows with equal values of these columns (not null), which come one after the other."""
+    held, now = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows - 1, bool)
+        for n in names:
+            c = b.column(n)
+            new |= pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        cuts = (np.flatnonzero(new) + 1).tolist()
+        for a, z in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            key = [b.column(n)[a].as_py() for n in names]
+            if held and key != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(b.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def partitions(spark: SparkSession, total_bytes: float, each: float) -> int:
     """Partitions for that many bytes: at least the session's count, so the number follows the input."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total_bytes // each) + 1)

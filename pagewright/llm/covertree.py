@@ -18,12 +18,11 @@ embedding.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, keyed, lean, small, table
+from .common import components, cut, drop, keyed, lean, runs, small, table
 
 #: Distinct vectors in a block at most about, and in a leaf; centres of all labels at most about.
 BLOCK, LEAF, CENTRES = 8192, 64, 2048
@@ -149,39 +148,24 @@ def merged(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _pairs(least: float):
     def run(batches):
         """Rows come sorted by (g, lo, hi, side, vec_id); a group is a pair of blocks."""
-        held, key = [], None
-        for b in batches:
-            f = b.to_pandas()
-            new = np.append(True, (f.g.to_numpy()[1:] != f.g.to_numpy()[:-1]) | (f[["lo", "hi"]].to_numpy()[1:] != f[["lo", "hi"]].to_numpy()[:-1]).any(axis=1)) if len(f) else []
-            for part in np.split(np.arange(len(f)), np.flatnonzero(new)):
-                if len(part):
-                    k = tuple(f.iloc[part[0]][["g", "lo", "hi"]])
-                    if k != key and held:
-                        yield from solve(pd.concat(held))
-                        held = []
-                    key = k
-                    held.append(f.iloc[part])
-        if held:
-            yield from solve(pd.concat(held))
-
-    def solve(f):
-        ids, mult = f.vec_id.to_numpy(np.int64), f.mult.to_numpy(np.int64)
-        v = np.stack(f.embedding.to_list()).astype(np.float64)
-        if f.lo.iloc[0] == f.hi.iloc[0]:
-            i, j = close_pairs(v, None, least) if len(v) > 1 else (np.zeros(0, np.int64),) * 2
-        else:
-            split = int((f.side == 0).sum())
-            if not 0 < split < len(v):
-                return
-            i, j = close_pairs(v[:split], v[split:], least)
-            j = j + split
-        if len(i):
-            n = np.bincount(i, mult[j], len(ids)) + np.bincount(j, mult[i], len(ids))
-            order = np.argsort(ids)
-            rank = np.argsort(order)
-            root = ids[order[merged(len(ids), rank[i], rank[j])[rank]]]
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(root[at]), pa.array(n[at].astype(np.int64))], ["a", "b", "n"])
+        for f in runs(batches, "g", "lo", "hi"):
+            ids, mult, side = (f.column(c).to_numpy() for c in ("vec_id", "mult", "side"))
+            v = f.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            if f.column("lo")[0] == f.column("hi")[0]:
+                i, j = close_pairs(v, None, least)
+            else:
+                split = int((side == 0).sum())
+                if not 0 < split < len(v):
+                    continue
+                i, j = close_pairs(v[:split], v[split:], least)
+                j = j + split
+            if len(i):
+                n = np.bincount(i, mult[j], len(ids)) + np.bincount(j, mult[i], len(ids))
+                order = np.argsort(ids)
+                rank = np.argsort(order)
+                root = ids[order[merged(len(ids), rank[i], rank[j])[rank]]]
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(root[at]), pa.array(n[at].astype(np.int64))], ["a", "b", "n"])
 
     return run
 

@@ -15,13 +15,12 @@ differ the one with the largest fingerprint counts; rows with a null doc_id are
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import components, cut, keyed, lean, partitions, small, table
+from .common import components, cut, keyed, lean, partitions, runs, small, table
 
 BANDS, WIDTH, STEP, TOLERANCE = 32, 4, 16, 1e-9
 HASHES = BANDS * WIDTH
@@ -155,37 +154,19 @@ def roots(n: int, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> np.ndarray
 def _blocks(num: int, den: int):
     def run(batches):
         """Rows come sorted by (c, lo, hi, side); a group is a block."""
-        key, held = None, []
-        for b in batches:
-            f = b.to_pandas()
-            change = (f[["c", "lo", "hi"]].diff().fillna(1) != 0).any(axis=1).to_numpy()
-            for part in np.split(np.arange(len(f)), np.flatnonzero(change)):
-                if not len(part):
-                    continue
-                g = f.iloc[part]
-                k = tuple(g[["c", "lo", "hi"]].iloc[0])
-                if k != key and held:
-                    yield from solve(held)
-                    held = []
-                key = k
-                held.append(g)
-        if held:
-            yield from solve(held)
-
-    def solve(held):
-        g = pd.concat(held) if len(held) > 1 else held[0]
-        ids, mult = g.doc_id.to_numpy(np.int64), g.mult.to_numpy(np.int64)
-        sig = np.frombuffer(b"".join(g.sig), np.uint32).reshape(-1, HASHES)
-        sets = [np.frombuffer(x, np.uint64) for x in g.s]
-        split = None if g.lo.iloc[0] == g.hi.iloc[0] else int((g.side == 0).sum())
-        if len(ids) < 2:
-            return
-        i, j = linked(sig, sets, num, den, split)
-        if len(i):
-            n = np.bincount(i, mult[j], len(ids)) + np.bincount(j, mult[i], len(ids))
-            at = np.flatnonzero(n)
-            root = ids[roots(len(ids), i, j, ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(root[at]), pa.array(n[at].astype(np.int64))], ["a", "b", "n"])
+        for g in runs(batches, "c", "lo", "hi"):
+            if g.num_rows < 2:
+                continue
+            ids, mult, side = (g.column(c).to_numpy() for c in ("doc_id", "mult", "side"))
+            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+            sets = [np.frombuffer(x, np.uint64) for x in g.column("s").to_pylist()]
+            split = None if g.column("lo")[0] == g.column("hi")[0] else int((side == 0).sum())
+            i, j = linked(sig, sets, num, den, split)
+            if len(i):
+                n = np.bincount(i, mult[j], len(ids)) + np.bincount(j, mult[i], len(ids))
+                at = np.flatnonzero(n)
+                root = ids[roots(len(ids), i, j, ids)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(root[at]), pa.array(n[at].astype(np.int64))], ["a", "b", "n"])
 
     return run
 

@@ -63,11 +63,14 @@ class Known:
         self.names = Numbered()
         self.words = self.names.words
         self.chars = 0
-        self.ids: list[tuple[int, ...]] = []
-        self.packed: list[bytes] = []  # ids, four bytes each
+        self.packed: list[bytes] = []  # ids of the best segmentation, four bytes each
         self.plain: list[bytes] = []  # what the ids decode to
         self.cost, self.excess, self.lists = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
 
+    def best(self, word: int) -> tuple[int, ...]:
+        raw = self.packed[word]
+        return struct.unpack(f"<{len(raw) // 4}i", raw)
+
 
 class Pieces:
     """The pieces of a model: their bytes, costs, and a hash table over them."""
@@ -280,7 +283,6 @@ class Pieces:
             order.append(np.fromiter(map(names.__getitem__, ws), np.int64, len(ws)))
         known.chars += sum(map(len, known.words[old:]))
         ids, cost, excess = self.viterbi(known.words[old:])
-        known.ids += ids
         known.packed += [struct.pack(f"<{len(x)}i", *x) for x in ids]
         known.plain += [b"".join(map(self.raw.__getitem__, x)) for x in ids]
         known.cost, known.excess = np.concatenate([known.cost, cost]), np.concatenate([known.excess, excess])
@@ -303,7 +305,7 @@ class Pieces:
                 w = (int(ws[p]), n)
                 if w not in known.lists:
                     # Of equal costs the one that Viterbi takes is the best.
-                    ways, top = self.nbest(known.words[w[0]], n), (int(known.cost[w[0]]), known.ids[w[0]])
+                    ways, top = self.nbest(known.words[w[0]], n), (int(known.cost[w[0]]), known.best(w[0]))
                     known.lists[w] = [top, *(x for x in ways if x != top)][:n]
                 choice.append(known.lists[w])
             # k-best sums of independent lists: a state is a rank for each word.

@@ -34,7 +34,7 @@ from .common import cut, drop, keyed, lean, partitions, table
 
 WINDOW, SEED = 50, 20
 #: Bytes of text for a shard, and longest stretch of a text that is hashed at once (stretches overlap by a window).
-SHARD_TEXT, STRETCH = 16 << 20, 1 << 20
+SHARD_TEXT, STRETCH = 16 << 20, 1 << 18
 #: Bytes of text whose pieces are packed together.
 PACK = 8 << 20
 LOW = 22

@@ -23,8 +23,10 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[128:] = True
 IS_WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz_"]] = True
 SHINGLE = 5
-#: Bytes handled at once; a longer text is handled alone, whole.
-CHUNK = 1 << 20
+#: Bytes handled at once (the arrays of one step take about 60 times as much); a longer text is handled alone, whole.
+CHUNK = 1 << 18
+#: Longest tables of powers that are kept.
+KEPT_POWERS = (1 << 20) + 2
 
 _powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
@@ -43,7 +45,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         for m in made:
             m[0] = 1
             np.cumprod(m, out=m)
-        if n > 2 * CHUNK:
+        if n > KEPT_POWERS:
             return made[0][:n], made[1][:n]
         _powers[:] = made
     return _powers[0][:n], _powers[1][:n]

@@ -109,6 +109,20 @@ def test_merged_spans():
     assert [len(x) for x in suffixdedup.merged_spans(none, none, none)] == [0, 0, 0]
 
 
+def test_runs_of_equal_rows():
+    import pyarrow as pa
+
+    from pagewright.llm import common
+
+    rng = random.Random(2)
+    rows = sorted((rng.choice("ab"), rng.randrange(3), rng.randrange(9)) for _ in range(50))
+    want = [[r for r in rows if r[:2] == k] for k in sorted({r[:2] for r in rows})]
+    for size in (1, 7, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + size], strict=True)], ["g", "k", "v"]) for k in range(0, 50, size)]
+        assert [[tuple(r.values()) for r in t.to_pylist()] for t in common.runs([batches[0].slice(0, 0), *batches], "g", "k")] == want
+    assert list(common.runs([], "g")) == []
+
+
 def test_rivals_are_the_parts_that_share_a_minimizer(monkeypatch):
     rng = np.random.default_rng(11)
     core = rng.integers(97, 123, (40, 50)).astype(np.uint8)
@@ -297,7 +311,7 @@ def test_n_best_segmentations(model):
         for n in (1, 2, 5):
             best, ways, ws = next(model.encode([t], n))
             assert [c for c, _ in ways] == [c for c, _ in want[:n]] and model.decode(best) == t
-            own = [model.known.ids[model.known.names[w]] for w in pieces.WORD.findall(" " + t)]
+            own = [model.known.best(model.known.names[w]) for w in pieces.WORD.findall(" " + t)]
             assert best.tolist() == [i for x in own for i in x] and model.restored(ws).decode() == (" " + t if t else "")
             whole = [tuple(i for k, x in enumerate(own) for i in change.get(k, x)) for _, change in ways]
             assert len(set(whole)) == len(ways) and all(model.decode(x) == t for x in whole)
