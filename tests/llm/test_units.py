@@ -109,6 +109,21 @@ def test_merged_spans():
     assert [len(x) for x in suffixdedup.merged_spans(none, none, none)] == [0, 0, 0]
 
 
+def test_seeds_do_not_depend_on_the_rows_before():
+    rng = random.Random(6)
+    rows = ["a a a a b " * 40, "same " * 100, " ".join(rng.choice("abc") for _ in range(300)), "x"]
+    import pyarrow as pa
+
+    def seeds(texts):
+        ((_, _, data, offsets),) = wh.chunks(pa.array(texts, pa.large_string()))
+        h, bounds, _, _ = wh.words(data, offsets)
+        row, pos, g = chaining.seeds(h, bounds)
+        return [(pos[row == len(texts) - 1].tolist(), g[row == len(texts) - 1].tolist())]
+
+    for t in rows:
+        assert all(seeds([*before, t]) == seeds([t]) for before in (["one two three four five six"], rows, ["same " * 7, "q"]))
+
+
 def test_runs_of_equal_rows():
     import pyarrow as pa
 
