@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "jaccard", "decontaminate", "langid", "covertree", "styletree", "licenses", "pieces", "suffixdedup", "chaining", "packing", "ranking")
+MODULES = ("chat", "jaccard", "decontaminate", "langid", "covertree", "styletree", "licenses", "pieces", "suffixdedup", "chaining", "packing", "repair", "ranking")
 
 
 def _merged(what: str) -> dict:
