@@ -87,9 +87,11 @@ def top_places(lines: DataFrame, keys: list[str], ties: list[str], k: int = PLAC
     counts = cut(lines.groupBy(*keys, "code").agg(F.count("*").alias("n")), "lz4")
     cuts, tables = multi_select(counts, keys, k)
     on = [lines[x] == cuts[x] for x in keys]
-    near = lines.join(cuts, on).where(F.col("code") <= F.col("cut")).select(*(lines[x] for x in keys), "code", *ties)
-    near = cut(near.groupBy(*keys, "code", *ties).agg(F.count("*").alias("m")), "lz4")
+    # written before equal lines are counted: a count in the join's own stage would keep Spark from splitting a large group
+    some = cut(lines.join(cuts, on).where(F.col("code") <= F.col("cut")).select(*(lines[x] for x in keys), "code", *ties), "lz4")
     drop(counts, *tables)
+    near = cut(some.groupBy(*keys, "code", *ties).agg(F.count("*").alias("m")), "lz4")
+    drop(some)
     order = [F.col("code").asc(), *(F.col(x).asc_nulls_last() for x in ties)]
     ranges = near.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     ranges = cut(ranges.withColumn("part_no", F.spark_partition_id()), "lz4")
