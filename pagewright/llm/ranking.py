@@ -55,7 +55,10 @@ def multi_select(counts: DataFrame, keys: list[str], k: int) -> tuple[DataFrame,
 
 def _halved(active: DataFrame, keys: list[str], k: int) -> DataFrame:
     """One exact count pass: each group's new bounds, or its cut if that is known now."""
-    code, middle = F.col("code"), F.expr("lo + (hi - lo) div 2")
+    code, half = F.col("code"), F.expr("hi - lo")
+    middle = F.expr("lo + (hi - lo) div 2")
+    if dict(active.dtypes)["code"] != "bigint":  # div gives a long
+        middle = (F.col("lo") + (half - half % 2) / 2).cast(dict(active.dtypes)["code"])
     low = lambda c: F.when(code <= middle, c)
     state = active.groupBy(*keys).agg(
         F.coalesce(F.sum(low(F.col("n"))), F.lit(0)).alias("n_low"),
@@ -113,6 +116,8 @@ def encoded(df: DataFrame, larger: str, smaller: str) -> tuple[DataFrame, Column
     found = df.agg(F.max(larger), F.min(larger), F.max(smaller), F.min(smaller)).first()
     a_max, a_min, b_max, b_min = (0 if x is None else x for x in found)
     width = b_max - b_min + 2
+    if (a_max - a_min + 2) * width >= 10**30:
+        raise ValueError("the pairs span more than 10 ** 30 values")
     kind = "long" if (a_max - a_min + 2) * width < 1 << 62 else "decimal(38,0)"
     big = lambda c: F.col(c).cast(kind)
     a = F.coalesce(F.lit(a_max + 1).cast(kind) - big(larger), F.lit(0).cast(kind))
