@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import letters as L
 from ..functions import locale
-from ..functions.ocrtext import Reader
 from ..operators import pages, planning, receipts, reports, spatial
 from . import fixtures as fx
 from .fixtures import table, with_words
@@ -15,10 +14,6 @@ from .scalars import ORACLE as SCALARS
 from .scalars import _terms
 
 
-def _no_lexicon(spark):
-    return spark.sparkContext.broadcast(Reader({}, {}))
-
-
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
@@ -87,9 +82,9 @@ def _by_language(spark, d):
 QUERIES = {
     "j3_nearby": j3_nearby,
     "t19_fix_word": lambda spark, d: receipts.fixed_words(_terms(spark, d).select("p_partkey", "core"), "core"),
-    "w5_receipt_rows": lambda spark, d: _joined(pages.row_pages(_till(spark, d), receipt=True, reader=_no_lexicon(spark))),
-    "t12_recognised_pages": lambda spark, d: _joined(pages.recognised_pages(_lines(spark, d), _no_lexicon(spark), receipt=False)),
-    "t16_build_pages": lambda spark, d: _joined(pages.build_pages(_noisy_words(spark, d), None, _no_lexicon(spark))),
+    "w5_receipt_rows": lambda spark, d: _joined(pages.row_pages(_till(spark, d), receipt=True)),
+    "t12_recognised_pages": lambda spark, d: _joined(pages.recognised_pages(_lines(spark, d), receipt=False)),
+    "t16_build_pages": lambda spark, d: _joined(pages.build_pages(_noisy_words(spark, d), None)),
     "t26_marked": t26_marked,
     "a18_examples": lambda spark, d: reports.examples(_fixes(spark, d), "p_partkey"),
     "k11_report_table": lambda spark, d: reports.markdown_table(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_name", "n_regionkey"], "n_nationkey"),

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import letters as L
-from ..functions import lexicon as X
+from ..functions.asking import Languages, with_lexicon
 from ..operators import metrics, pages, planning, receipts, spatial
 from ..sources import readers, sinks
 from . import fixtures as fx
@@ -56,14 +57,10 @@ def a8(spark, d):
 
 
 def w1_context(spark, d):
-    """Engine A's lines: look-alike words between Cyrillic ones, by a fold whose state the next word sees."""
-    a = fx.engine_a(fx.words(spark, d)).withColumn("s", L.script(F.col("t"))).withColumn("twin", F.translate("t", *fx.NOISE))
-    only = F.regexp("t", F.lit(f"^[{fx.NOISE[0]}]+$"))
-    line = a.groupBy("page", "line_ix").agg(F.array_sort(F.collect_list(F.struct("word_ix", "t", "s", "twin", only.alias("only")))).alias("w"))
-    step = """aggregate(sequence(1, size(w)), named_struct('last', cast(null as string), 'out', cast(array() as array<string>)), (acc, i) ->
-      if(w[i - 1].s = 'lat' and w[i - 1].only and int(acc.last <=> 'cyr') + int(get(w, i).s <=> 'cyr') > int(acc.last <=> 'lat') + int(get(w, i).s <=> 'lat'),
-         named_struct('last', 'cyr', 'out', concat(acc.out, array(w[i - 1].twin))), named_struct('last', w[i - 1].s, 'out', concat(acc.out, array(w[i - 1].t)))))"""
-    return line.select("page", "line_ix", F.array_join(F.expr(step)["out"], " ").alias("line"))
+    """Engine A's lines with look-alike words between Cyrillic ones settled, where the Cyrillic spellings are the commoner ones."""
+    words = fx.engine_a(fx.words(spark, d)).groupBy("page", "line_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_ix", "t"))), lambda x: x["t"]).alias("texts"))
+    done = with_lexicon(words, ["page", "line_ix"], lambda row, reader: " ".join(pages.context_fold(row["texts"], reader)), T.StringType(), _languages(spark, d, 1.0))
+    return done.withColumnRenamed("result", "line")
 
 
 def w4_hyphens(spark, d):
@@ -204,18 +201,19 @@ def a16_gate(spark, d):
 # Composed page pipelines: order-dependent, so their golden cases are in tests/.
 
 
-def _reader(spark, d):
+def _languages(spark, d, gain: float = 0.0):
+    """The fixtures' lexicon; the Cyrillic spellings more frequent by gain."""
     lex = fx.lexicon(spark, d)
-    return X.reader(spark, lex, "yy", "xx", limit=2_000_000)
+    return Languages(lex.withColumn("zipf", F.col("zipf") + F.when(F.col("lang") == "yy", gain).otherwise(0.0)), "yy", "xx")
 
 
 def t11_fuse(spark, d):
     a, b = _ab(spark, d)
-    return pages.fuse_pages(_doc(a), _doc(b), _reader(spark, d))
+    return pages.fuse_pages(_doc(a), _doc(b), _languages(spark, d))
 
 
 def t10_single(spark, d):
-    return pages.single_engine_pages(_doc(fx.engine_a(fx.words(spark, d))), _reader(spark, d))
+    return pages.single_engine_pages(_doc(fx.engine_a(fx.words(spark, d))), _languages(spark, d))
 
 
 def w6_rows(spark, d):

@@ -22,7 +22,9 @@ def page_number(path: Column) -> Column:
 
 
 def document(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    """The folder of a file; paths come with escapes, which only a plain path lacks."""
+    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return F.when(F.regexp(path, F.lit(r"^\w+:/")), F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(folder)
 
 
 def is_image(path: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import letters as L
 from pagewright.functions import lexicon, locale
+from pagewright.functions.asking import Languages, with_lexicon
 from pagewright.functions.ocrtext import Reader, script, strip_acute
 from pagewright.operators import metrics, pages, planning, spatial
 from pagewright.plans import registry
@@ -40,9 +41,7 @@ def test_lexicon_known(spark):
     got = {r.w: r.known for r in lexicon.known(df, lex, "w", "bg", "en").collect()}
     r = Reader({"река": 4.6, "сок": 3.5}, {"lake": 5.6})
     assert got == {w: r.known(w) for w in words}
-    assert lexicon.reader(spark, lex, "bg", "en").value.clean("cok") == "сок"
-    with pytest.raises(ValueError):
-        lexicon.reader(spark, lex, "bg", "en", limit=2)
+    assert r.clean("cok") == "сок"
 
 
 def test_planning(spark):
@@ -105,7 +104,7 @@ def test_spatial_against_plain_loops(spark):
 
 
 def test_page_tables(spark):
-    r = spark.sparkContext.broadcast(Reader({"река": 4.6}, {}))
+    r = Languages(spark.createDataFrame([("bg", "река", 4.6)], "lang string, word string, zipf double"), "bg", "en")
     words = spark.createDataFrame([(1, 1, 0, 0, 0, "река", 90.0, 0.9, 0.0, 0.0, 40.0, 20.0), (1, 1, 0, 1, 1, "$$", 5.0, 0.9, 50.0, 0.0, 60.0, 20.0)], "doc_id long, page long, line_ix int, word_ix int, ix int, t string, conf double, score double, x0 double, y0 double, x1 double, y1 double")
     assert [x.t for x in pages.single_engine_pages(words, r).collect()] == ["река"]
     assert [x.t for x in pages.fuse_pages(words, words.where("ix = 0"), r).collect()] == ["река"]
@@ -236,3 +235,25 @@ def test_command_line(spark, tmp_path):
     assert {r.page for r in ask("--pages", "2-").collect()} == {2}
     with pytest.raises(ValueError):
         ask("--formats", "docx")
+
+
+def test_command_line_with_two_engines(spark, tmp_path):
+    from pagewright import cli
+
+    book = tmp_path / "in" / "книга 1"
+    book.mkdir(parents=True)
+    head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
+    page = lambda words: head + "".join(f"5\t1\t1\t1\t1\t{k}\t{100 * k}\t10\t90\t20\t90\t{w}\n" for k, w in enumerate(words))
+    (book / "0001.tsv").write_text(page(["pека", "cok"]))
+    (book / "0001.json").write_text(json.dumps({"texts": ["река сок"], "scores": [0.99], "boxes": [[0, 10, 190, 30]], "polys": None}))
+    lex = str(tmp_path / "lexicon")
+    spark.createDataFrame([("bg", "река", 4.6), ("bg", "сок", 3.5), ("en", "late", 5.0)], "lang string, word string, zipf double").write.parquet(lex)
+    ask = lambda *more: cli.run(spark, cli.parser().parse_args([str(tmp_path / "in"), "-o", str(tmp_path / "out"), "-l", "bul+eng", "--profile", "book", "--lexicon", lex, *more]))
+    assert sorted((r.doc, r.t) for r in ask().collect()) == [("книга 1", "река"), ("книга 1", "сок")]
+    stages = lambda: {f: len(glob.glob(f + "/*.parquet")) for f in glob.glob(str(tmp_path / "out/stages/words/*"))}
+    before = stages()
+    ask()  # finished pages are not built again
+    assert stages() == before and len(before) == 1
+    (book / "0002.tsv").write_text(page(["late"]))
+    assert sorted(r.t for r in ask().collect()) == ["late", "река", "сок"] and set(stages()) == set(before)
+    assert ask("--engine", "tesseract").count() == 3 and len(stages()) == 2
