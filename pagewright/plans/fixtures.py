@@ -45,12 +45,12 @@ def engine_b(w: DataFrame) -> DataFrame:
 
 _N = f"'{NOISE[0]}', '{NOISE[1]}'"
 SQL = f"""
-fc AS (SELECT doc_id AS page, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS t, unnest(range(len(string_split(replace(text, chr(10), ' '), ' ')))) AS ix FROM documents),
+fc AS MATERIALIZED (SELECT doc_id AS page, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS t, unnest(range(len(string_split(replace(text, chr(10), ' '), ' ')))) AS ix FROM documents),
 fo AS (SELECT page, CAST(ix // 12 AS INTEGER) AS line_ix, CAST(ix % 12 AS INTEGER) AS word_ix, CAST(ix AS INTEGER) AS ix, t,
   coalesce(sum(length(t) + 1) OVER (PARTITION BY page, ix // 12 ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM fc),
-fw AS (SELECT page, line_ix, word_ix, ix, t, CAST(off * 10 AS DOUBLE) AS x0, CAST(line_ix * 30 AS DOUBLE) AS y0, CAST((off + length(t)) * 10 AS DOUBLE) AS x1, CAST(line_ix * 30 + 20 AS DOUBLE) AS y1 FROM fo WHERE t <> ''),
-fa AS (SELECT * REPLACE (CASE WHEN (page + ix) % 5 = 0 THEN translate(t, {_N}) ELSE t END AS t), CAST(30 + (page * 7 + ix * 3) % 70 AS DOUBLE) AS conf FROM fw),
-fb AS (SELECT * REPLACE (CASE WHEN (page + ix) % 13 = 0 THEN translate(t, {_N}) ELSE t END AS t, x0 + 3 AS x0, y0 + 2 AS y0, x1 + 5 AS x1, y1 - 1 AS y1), 0.5 + ((page + ix) % 50) / 100 AS score FROM fw WHERE (page + ix) % 11 <> 0),
+fw AS MATERIALIZED (SELECT page, line_ix, word_ix, ix, t, CAST(off * 10 AS DOUBLE) AS x0, CAST(line_ix * 30 AS DOUBLE) AS y0, CAST((off + length(t)) * 10 AS DOUBLE) AS x1, CAST(line_ix * 30 + 20 AS DOUBLE) AS y1 FROM fo WHERE t <> ''),
+fa AS MATERIALIZED (SELECT * REPLACE (CASE WHEN (page + ix) % 5 = 0 THEN translate(t, {_N}) ELSE t END AS t), CAST(30 + (page * 7 + ix * 3) % 70 AS DOUBLE) AS conf FROM fw),
+fb AS MATERIALIZED (SELECT * REPLACE (CASE WHEN (page + ix) % 13 = 0 THEN translate(t, {_N}) ELSE t END AS t, x0 + 3 AS x0, y0 + 2 AS y0, x1 + 5 AS x1, y1 - 1 AS y1), 0.5 + ((page + ix) % 50) / 100 AS score FROM fw WHERE (page + ix) % 11 <> 0),
 ft AS (SELECT DISTINCT t FROM fa)"""
 
 
@@ -84,6 +84,6 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_LEXICON = f"""
 lc AS (SELECT unnest({L.sql_words('text')}) AS word FROM documents),
-ln AS (SELECT word, count(*) AS n FROM lc GROUP BY word),
+ln AS MATERIALIZED (SELECT word, count(*) AS n FROM lc GROUP BY word),
 lo AS (SELECT 'xx' AS lang, word, round(log10(n / (SELECT sum(n) FROM ln) * 1e9), 6) AS zipf FROM ln),
-lex AS (SELECT * FROM lo UNION ALL SELECT 'yy', translate(word, {_N}), zipf - 0.5 FROM lo WHERE {L.sql_script(f"translate(word, {_N})")} = 'cyr')"""
+lex AS MATERIALIZED (SELECT * FROM lo UNION ALL SELECT 'yy', translate(word, {_N}), zipf - 0.5 FROM lo WHERE {L.sql_script(f"translate(word, {_N})")} = 'cyr')"""

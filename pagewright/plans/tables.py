@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from ..functions import letters as L
 from ..functions.asking import Languages, with_lexicon
 from ..operators import metrics, pages, planning, receipts, spatial
+from ..operators.alignment import align
 from ..sources import readers, sinks
 from . import fixtures as fx
 from .fixtures import table, with_words
@@ -238,6 +239,14 @@ def a19_fixes(spark, d):
     return metrics.fix_list(t, "item_id")
 
 
+def j13_alignment(spark, d):
+    """Documents' words against the same words with every eleventh one misread: which stand for each other."""
+    words = L.words(F.col("text"))
+    hyp = F.transform(words, lambda w, k: F.when(k % 11 == 5, F.concat(F.lit("q"), w)).otherwise(w))
+    found = align(table(spark, d, "documents").select("doc_id", words.alias("ref"), hyp.alias("hyp")), ["doc_id"])
+    return found.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("ref_word") == F.col("hyp_word")).alias("equal"), F.sum(F.col("ref_ix").cast("long") * 3 + F.col("hyp_ix")).alias("places"))
+
+
 _ox = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0))"
 _oy = "greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
 _tall = f"{_oy} >= 0.5 * least(a.y1 - a.y0, b.y1 - b.y0)"
@@ -263,7 +272,7 @@ QUERIES = {
     "f16_formats": lambda spark, d: table(spark, d, "orders").select("o_orderkey", F.array_join(F.array_except(F.split(F.lower("o_orderpriority"), "[- ]+"), F.array(*map(F.lit, (*planning.FORMATS, "1", "low")))), ",").alias("unknown")),
     "s10_tsv": s10_tsv, "s11_lines": s11_lines, "s7_book_pages": s7_book, "t41_fit_box": t41_fit, "j15_compare_runs": j15_compare, "a17_error_ratios": a17_ratios, "a16_gate": a16_gate,
     "s2_is_image": lambda spark, d: table(spark, d, "part").select("p_partkey", readers.is_image(F.concat(F.lit("/a/"), F.when(F.col("p_partkey") % 5 == 0, ".").otherwise(""), F.lit("p."), F.element_at(F.array(*map(F.lit, ("JPG", "png", "txt", "tiff", "pdf"))), (F.col("p_size") % 5 + 1).cast("int")))).alias("image")),
-    "t11_fuse_pages": t11_fuse, "t10_single_engine": t10_single, "w6_printed_rows": w6_rows, "a19_fixes": a19_fixes,
+    "t11_fuse_pages": t11_fuse, "t10_single_engine": t10_single, "w6_printed_rows": w6_rows, "a19_fixes": a19_fixes, "j13_alignment": j13_alignment,
 }
 
 _ROWS = """li AS (SELECT l_orderkey, l_linenumber, replace(p_name, '#', ' ') AS label, CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) AS q, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS v FROM lineitem JOIN part ON p_partkey = l_partkey)"""
@@ -313,6 +322,7 @@ SELECT doc_id, md5(script) AS digest, length(script) AS n FROM s"""),
     "a17_error_ratios": "WITH s AS (SELECT o_custkey AS sample, ['ours', 'one', 'two'][o_orderkey % 3 + 1] AS system, max(CAST(floor(o_totalprice) AS BIGINT) % 100 / 100) AS f FROM orders GROUP BY ALL) SELECT a.system, count(*) AS samples, round(sum(1 - a.f) / greatest(1e-6, sum(1 - b.f)), 6) AS ratio FROM s a JOIN s b ON a.sample = b.sample AND b.system = 'ours' WHERE a.system <> 'ours' GROUP BY a.system",
     "a16_gate": "SELECT p_partkey AS sample, ['word_f1', 'char_acc'][p_partkey % 2 + 1] AS metric, p_size / 50 AS value, 0.5::DOUBLE AS least FROM part WHERE p_size / 50 < 0.5",
     "s2_is_image": "SELECT p_partkey, p_partkey % 5 <> 0 AND p_size % 5 IN (0, 1, 3) AS image FROM part",
+    "j13_alignment": f"WITH w AS (SELECT doc_id, {L.sql_words('text')} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS k FROM w) SELECT doc_id, count(*) AS pairs, count(*) FILTER (k % 11 <> 5) AS equal, CAST(sum(4 * k) AS BIGINT) AS places FROM p GROUP BY doc_id",
     "w6_printed_rows": None,
 }
 ORACLE = {k: v for k, v in ORACLE.items() if v}

@@ -81,10 +81,6 @@ def test_score(spark):
     assert {r.id: r.row_acc for r in metrics.row_accuracy(till, "id").collect()} == {1: 0.5, 2: 0.0}
 
 
-def test_fix_list():
-    assert metrics.best_fixes(["Река", "мия"], ["Pека", "мия"], ["Река", "мия"], ["Река", "мия"]) == [("Река", "Pека", "Река", "Река")]
-
-
 def test_spatial_against_plain_loops(spark):
     rng = random.Random(4)
     words = lambda n: [(1 + i % 3, i, float(x := rng.randint(0, 200)), float(y := rng.randint(0, 150)), x + float(rng.randint(1, 60)), y + float(rng.randint(1, 50))) for i in range(n)]
