@@ -12,8 +12,9 @@ once: a host full of copies of one article says nothing against that article. On
 what the markup declares, and units under LEAST_IMPORTANCE go; a branch goes when all its units do. Declarations are priors:
 
     0.45  menus, headers, footers, sidebars by element or role; forms, and adverts, comments and the like by class; all outside the article
-          (or else main element) of a page that declares one
-    0.8   forms and the same by class, if the branch holds half of the page's text
+          (or else main element) of a page that declares one, unless the articles hold under a quarter of the text that nothing else declares
+    0.8   forms and the same by class, if the branch holds half of the page's text; so with comments (an article: whatever its share), if also
+          the text beside the branch that declares nothing, and that in other articles, is under a quarter of its own: a wrapper whose class tells of comments is no list of comments
     0.7   words like notice, share, search, related in a class; 0.53 if the branch holds under a quarter of the text
 
 Scripts, styles, controls and hidden elements are no text at all.
@@ -43,6 +44,8 @@ GAMMA, LEAST_IMPORTANCE, PRIOR_PAGES = 0.9, 0.5, 4
 #: Priors, and the importance from which on only priors under LEAST_IMPORTANCE remove a unit.
 DECLARED, LARGE, LIKELY, SMALL = 0.45, 0.8, 0.7, 0.53
 DOUBT = LEAST_IMPORTANCE / SMALL
+#: Text beside a branch, as a share of the branch's, from which on it may be the article in its place.
+RIVAL = 0.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -182,26 +185,39 @@ class Page:
 
     def priors(self) -> list[float]:
         """Of each element: the least prior of itself and those above it; outside the article that of the article's absence."""
-        size, seen = [0] * len(self.path), [g != "out" for g in self.grade]
+        n_all = len(self.path)
+        own, seen = [0] * n_all, [g != "out" for g in self.grade]
         for node, _, run in self.runs:
-            size[node] += len(run.strip())
-        for n in range(1, len(seen)):
+            own[node] += len(run.strip())
+        for n in range(1, n_all):
             seen[n] = seen[n] and seen[self.parent[n]]
-        for n in range(len(size) - 1, 0, -1):
-            size[self.parent[n]] += size[n] * seen[n]
-        whole, least = max(1, size[0]), 2 if self.article else 1 if self.main else 0
-        out = []
+        size, clean = ([x * s for x, s in zip(own, seen, strict=True)] for _ in range(2))  # all text; without branches that declare something
+        told = [x * (s == 2) for x, s in zip(size, self.state, strict=True)]  # in articles
+        for n in range(n_all - 1, 0, -1):
+            size[self.parent[n]] += size[n]
+            told[self.parent[n]] += told[n]
+            clean[self.parent[n]] += clean[n] * (not self.grade[n])
+        whole, out = max(1, size[0]), []
+        inside, kept = [0] * n_all, [True] * n_all  # the nearest branch that stays whatever it declares; whether nothing else declared it away
         for n, g in enumerate(self.grade):
-            p, part = 1.0 if n == 0 else out[self.parent[n]], size[n] / whole
+            above = self.parent[n] if n else 0
+            p, part = out[above] if n else 1.0, size[n] / whole
+            inside[n], kept[n] = inside[above], kept[above] and seen[n]
             if g == "out":
                 p = 0.0
+            elif g == "comments" and (2 * size[n] >= size[inside[n]] or self.state[n] > self.state[above] == 0) and max(clean[inside[n]], told[inside[n]] - told[n]) < RIVAL * size[n]:
+                p, inside[n] = min(p, LARGE), n  # no other text of the page could be its article
             elif g in ("tag", "comments"):
-                p = min(p, DECLARED)
+                p, kept[n] = min(p, DECLARED), False
             elif g == "strong":
                 p = min(p, LARGE if part >= 0.5 else DECLARED)
+                inside[n], kept[n] = (n, kept[n]) if part >= 0.5 else (inside[n], False)
             elif g == "weak":
-                p = min(p, LIKELY if part >= 0.25 else SMALL)
+                p, kept[n] = min(p, LIKELY if part >= 0.25 else SMALL), kept[n] and part >= 0.25
             out.append(p)
+        text = sum(x for x, k in zip(own, kept, strict=True) if k)
+        article = sum(x for x, k, s in zip(own, kept, self.state, strict=True) if k and s == 2)
+        least = 2 if self.article and article >= RIVAL * text else 1 if self.main else 0
         return [min(p, DECLARED) if s < least else p for p, s in zip(out, self.state, strict=True)]
 
     def key(self, priors: list[float]) -> int:

@@ -460,3 +460,26 @@ def test_hosts():
 def test_fingerprints_are_stable_and_distinct():
     assert len(chat.MAPPINGS) == len(chat.LAYOUTS)
     assert chat.fingerprint(["a", "b"]) == chat.fingerprint(["b", "a"]) != chat.fingerprint(["ab"])
+
+
+PARAGRAPH = "<p>" + "A sentence of the article that goes on for a while. " * 5 + "</p>"
+REMARKS = '<section class="comments"><h3>Comments</h3><div class="comment">' + "I liked it a lot. " * 40 + "</div></section>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<article class="post comment-status-open">{p}{p}</article>',
+        '<div class="post has-comments">{p}{p}</div>',
+        '<div id="page-comments-on"><article>{p}{p}</article></div>',
+        '<div class="message reply">{p}{p}</div>',
+        '<div class="content">{p}{p}</div><article class="teaser"><p>Read also this.</p></article>',
+        '<div class="post has-comments">{p}{p}{c}</div>',
+        "<article>{p}{p}</article>{c}",
+        '<article class="has-comments">{p}{p}</article>{c}',
+    ],
+)
+def test_class_words_do_not_empty_articles(body):
+    html = "<html><body><nav><a>Home</a></nav>" + body.format(p=PARAGRAPH, c=REMARKS) + "<footer>Imprint</footer></body></html>"
+    text = styletree.Page(html).text()
+    assert text.count("A sentence of the article") == 10 and "liked" not in text and "Home" not in text and "Imprint" not in text
