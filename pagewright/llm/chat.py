@@ -3,8 +3,8 @@
 The loss mask of a formatted conversation is a list of spans of code points: the escaped text of each assistant turn.
 
 Native: built-in functions only. Every layout of a prompt, instruction or message record is described by the sorted list
-of its nested field paths; the hash of that list is the fingerprint that selects the mapping. Record columns that no layout
-claims are ignored, so extra columns and clashing names do no harm.
+of its nested field paths; the hash of the paths that a record fills is the fingerprint that selects its mapping. Record columns
+that no layout claims are ignored, so extra columns and clashing names do no harm.
 
 Edge cases: a null text or role counts as empty; a null turn sorts first; equal turns are ordered by role, then text, so
 repeated rows all stay; a table without rows gives no rows. A turn of any length is one string; nothing is cut.
@@ -12,6 +12,8 @@ repeated rows all stay; a table without rows gives no rows. A turn of any length
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,41 +50,50 @@ def paths(kind: T.DataType, prefix: str = "") -> list[str]:
 
 
 def fingerprint(names) -> int:
-    """63-bit hash of the sorted paths, the same on every platform."""
-    h = 0xCBF29CE484222325
-    for byte in "\n".join(sorted(names)).encode():
-        h = (h ^ byte) * 0x100000001B3 % (1 << 64)
-    return h >> 1
+    """60-bit hash of the sorted paths, the same on every platform."""
+    return int(hashlib.sha256("\n".join(sorted(names)).encode()).hexdigest()[:15], 16)
+
 
+def fingerprint_of(names: Column) -> Column:
+    """fingerprint() of an array of paths."""
+    return F.conv(F.substring(F.sha2(F.array_join(F.array_sort(names), "\n"), 256), 1, 15), 16, 10).cast("long")
 
+
+#: What a fingerprint selects: the paths of its layout, and the expression for its turns.
 MAPPINGS = {fingerprint(k): (k, v) for k, v in LAYOUTS.items()}
 
 
+def _top(path: str) -> str:
+    return path.split("[")[0].split(".")[0]
+
+
+def filled(kind: T.StructType, inner) -> Column:
+    """The paths that a row fills: of those that some mapping reads, the ones below its top-level fields that are not null."""
+    claimed = {p for key, _ in MAPPINGS.values() for p in key}
+    fields = {f.name: [p for p in paths(T.StructType([f])) if p in claimed] for f in kind.fields}
+    lists = [F.when(inner(f).isNotNull(), F.array(*map(F.lit, own))).otherwise(F.array().cast("array<string>")) for f, own in fields.items() if own]
+    return F.flatten(F.array(*lists)) if lists else F.array().cast("array<string>")
+
+
 def canonical(df: DataFrame, record: str | None = None) -> DataFrame:
     """df plus schema_fp and turns: each row's record (a struct column, or df's own columns) in canonical turns.
 
-    A record may mix layouts: its columns are the union of all layouts that occur, and a row fills those of its own.
-    A row's layout is the first one, most paths first, whose top-level fields are all non-null and whose paths exist.
-    Rows that no layout fits get null turns and schema_fp of the whole schema.
+    A record may mix layouts: its columns are the union of all layouts that occur, and a row fills those of its own. The
+    fingerprint of the paths that a row fills, among the fields that mappings read, selects its mapping. Rows whose fingerprint
+    selects none keep it, and get null turns: their layout is not known, or they fill fields of several.
     """
     kind = df.schema[record].dataType if record else df.schema
     have = set(paths(kind))
     inner = (lambda name: F.col(record)[name]) if record else F.col
-    tops = sorted({p.split("[")[0].split(".")[0] for k in LAYOUTS for p in k if p in have})
-    work = df.withColumns({f"__{t}": inner(t) for t in tops})
-    turns, fp = F.lit(None).cast(TURNS), F.lit(fingerprint(have)).cast("long")
-    for key, expression in sorted(LAYOUTS.items(), key=lambda x: (len(x[0]), x[0])):
-        if not set(key) <= have:
-            continue
-        used = sorted({p.split("[")[0].split(".")[0] for p in key})
-        for t in used:
+    known = {fp: (key, turns) for fp, (key, turns) in MAPPINGS.items() if set(key) <= have}
+    tops = sorted({_top(p) for key, _ in known.values() for p in key})
+    work = df.withColumns({"__fp": fingerprint_of(filled(kind, inner)), **{f"__{t}": inner(t) for t in tops}})
+    turns = F.lit(None).cast(TURNS)
+    for fp, (key, expression) in known.items():
+        for t in sorted({_top(p) for p in key}):
             expression = _renamed(expression, t)
-        there = F.lit(True)
-        for t in used:
-            there = there & F.col(f"__{t}").isNotNull()
-        turns = F.when(there, F.expr(expression).cast(TURNS)).otherwise(turns)
-        fp = F.when(there, F.lit(fingerprint(key))).otherwise(fp)
-    return work.select(*df.columns, fp.alias("schema_fp"), turns.alias("turns"))
+        turns = F.when(F.col("__fp") == fp, F.expr(expression).cast(TURNS)).otherwise(turns)
+    return work.select(*df.columns, F.col("__fp").alias("schema_fp"), turns.alias("turns"))
 
 
 def _renamed(expression: str, name: str) -> str:
@@ -155,14 +166,22 @@ PROBE = "\\### Assistant: </turn> ok"
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a conversation: counts and digests of what is read back from the formatted text and cut out by the mask.
 
-    The table's conversations are message lists; conversation -7 is a prompt with its response.
+    The table's conversations are message lists, of one layout or another by their number; conversation -7 is a prompt with its response.
     """
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    message = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m")).select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
-    probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(PROBE).alias("prompt"), F.lit(PROBE).alias("response"))
-    chats = chats.unionByName(probe, allowMissingColumns=True)
-    out = format_chats(chats).select("conv_id", "schema_fp", "formatted", parsed(F.col("formatted")).alias("back"), masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    message = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    even = F.coalesce(F.col("conv_id") % 2 == 0, F.lit(True))
+    layout = {
+        "messages": F.when(even, F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))),
+        "turns": F.when(~even, F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))),
+    }
+    text = lambda c: F.lit(c).cast("string")
+    chats = lists.select("conv_id", F.struct(*(c.alias(n) for n, c in layout.items()), text(None).alias("prompt"), text(None).alias("response")).alias("record"))
+    none = [F.lit(None).cast(chats.schema["record"].dataType[n].dataType).alias(n) for n in layout]
+    probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.struct(*none, text(PROBE).alias("prompt"), text(PROBE).alias("response")).alias("record"))
+    chats = chats.unionByName(probe)
+    out = format_chats(chats, "record").select("conv_id", "schema_fp", "formatted", parsed(F.col("formatted")).alias("back"), masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     out = out.withColumn("said", said)
     return out.select(
@@ -189,7 +208,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars,
-  CASE conv_id WHEN -7 THEN {fingerprint(("prompt", "response"))} ELSE {fingerprint(("messages[].content", "messages[].role"))} END AS schema_fp
+  CASE conv_id WHEN -7 THEN {fingerprint(("prompt", "response"))} ELSE CASE WHEN coalesce(conv_id % 2 = 0, true) THEN {fingerprint(("messages[].content", "messages[].role"))} ELSE {fingerprint(("turns[].role", "turns[].text"))} END END AS schema_fp
 FROM e GROUP BY conv_id""",
 }
 QUERIES = {"op5_chat_format": op5_chat_format}

@@ -278,3 +278,19 @@ def test_places_for_any_k(spark, k):
         groups[g].append((c, t))
     want = [(g, i, *x, sum(y[0] == x[0] for y in own)) for g, own in groups.items() for i, x in enumerate(sorted(own)[:k], 1)]
     assert sorted((x.g, x.pos, x.code, x.t, x.tied) for x in got) == sorted(want)
+
+
+def test_fingerprints_select_mappings(spark, monkeypatch):
+    from pagewright.llm import chat
+
+    kind = "messages array<struct<role:string,content:string,name:string>>, prompt string, response string, instruction string, input string, output string, turns_n int"
+    rows = [([("user", "a", "x")], None, None, None, None, None, 1), (None, "p", "r", None, None, None, 1), (None, None, None, "i", None, "o", 1), (None, None, None, "i", "in", "o", 1), (None, "p", None, None, None, None, 1), (None,) * 6 + (1,), ([], None, None, None, None, None, 1), (None, "p", "r", "i", None, "o", 1)]
+    df = spark.createDataFrame(rows, kind)
+    want = [[("user", "a")], [("user", "p"), ("assistant", "r")], [("user", "i"), ("assistant", "o")], [("user", "i\nin"), ("assistant", "o")], None, None, [], None]
+    got = lambda: [None if r.turns is None else [tuple(x) for x in r.turns] for r in chat.canonical(df).collect()]
+    assert got() == want
+    fp = chat.fingerprint(("messages[].content", "messages[].role"))
+    monkeypatch.delitem(chat.MAPPINGS, fp)
+    assert got() == [None, *want[1:6], None, None]
+    monkeypatch.setattr(chat, "MAPPINGS", {})
+    assert got() == [None] * 8
