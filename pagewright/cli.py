@@ -38,8 +38,10 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """The finished words of all pages; outputs are written below a.output."""
+def run(spark: SparkSession, a: argparse.Namespace, report: dict | None = None) -> DataFrame:
+    """The finished words of all pages; outputs are written below a.output. report: takes the pages, words and pages without text
+    that the job which wrote the text has counted."""
+    report = {} if report is None else report
     wanted = [f for f in a.formats.lower().replace(" ", "").split(",") if f]
     if unknown := sorted(set(wanted) - set(FORMATS)):
         raise ValueError(f"unknown formats: {', '.join(unknown)}")
@@ -76,8 +78,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     tills = pages.row_pages(done.join(receipts, "doc_id", "left_semi"), receipt=True, languages=languages)
     done = plain.unionByName(rows).unionByName(tills)
     if "txt" in wanted:
-        by_name = sinks.plain_text(done).select(F.col("doc_id").alias("doc"), sinks.as_lines(F.col("text")).alias("text"))
+        texts, seen = sinks.counted(sinks.page_texts(done), sizes, "text")
+        by_name = sinks.joined_pages(texts).select(F.col("doc_id").alias("doc"), sinks.as_lines(F.col("text")).alias("text"))
         by_name.repartition("doc").write.mode("overwrite").partitionBy("doc").text(f"{a.output}/txt")
+        report.update(seen.get)
     if "djvu" in wanted:
         sinks.book_script(done, sizes).select(F.col("doc_id").alias("doc"), "page", "script").write.mode("overwrite").parquet(f"{a.output}/djvu")
     if "json" in wanted:
@@ -93,7 +97,10 @@ def _any(spark: SparkSession, folder: str, extension: str) -> bool:
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    run(SparkSession.builder.appName("pagewright").getOrCreate(), a)
+    report: dict = {}
+    run(SparkSession.builder.appName("pagewright").getOrCreate(), a, report)
+    if report:
+        print(f"{report['pages']} pages, {report['words']} words, {report['empty']} pages without text")
 
 
 if __name__ == "__main__":

@@ -7,9 +7,13 @@ pairs grow with its words a band, not with their square.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import letters as L
+from ..functions.ocrtext import ROUND_NUMBER, Reader, ratio
+
 BAND = 40
 
 
@@ -78,3 +82,22 @@ def nearby(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("page",))
     p = pairs(left, right, keys)
     off = F.abs((F.col("l_x0") + F.col("l_x1")) / 2 - (F.col("r_x0") + F.col("r_x1")) / 2)
     return p.where((F.col("oy") >= 0.3 * F.least("lh", "rh")) & (off <= F.greatest("lw", "rw")))
+
+
+def best_number(left: DataFrame, right: DataFrame, left_id: tuple[str, ...], right_ix: str = "ix", keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """The number words of left plus partner and likeness: of the right words around each on its line, the one that holds the most
+    similar number (the first one of equals), if one is clearly the same number; else nulls. Columns: t, a box, keys and ids."""
+
+    @F.pandas_udf("double")
+    def likeness(own: pd.Series, other: pd.Series) -> pd.Series:
+        reader = Reader({}, {})
+        found = [reader.same_number(t, p) for t, p in zip(own, other, strict=True)]
+        return pd.Series([ratio(t.strip(ROUND_NUMBER), n) if n else 0.0 for t, n in zip(own, found, strict=True)], dtype="float64")
+
+    numbers = left.where(L.is_number(F.col("t")))
+    ids = [F.col("l_" + c).alias(c) for c in left_id]
+    near = nearby(numbers, right, keys).select(*ids, F.col("r_" + right_ix).alias("other"), F.col("l_t").alias("own"), F.col("r_t").alias("text"))
+    near = near.withColumn("likeness", likeness("own", "text")).where("likeness > 0")
+    best = near.groupBy(*left_id).agg(F.min(F.struct((-F.col("likeness")).alias("far"), "other")).alias("b"))
+    best = best.select(*left_id, F.col("b.other").alias("partner"), (-F.col("b.far")).alias("likeness"))
+    return numbers.join(best, list(left_id), "left")

@@ -61,6 +61,12 @@ def j3_nearby(spark, d):
     return spatial.nearby(a, b).select(F.col("l_page").alias("page"), F.col("l_ix").alias("ix"), F.col("r_ix").alias("other"))
 
 
+def j3_best_number(spark, d):
+    """Engine A's numbers with the word of engine B, around them, that holds the most similar number."""
+    w = fx.words(spark, d)
+    return spatial.best_number(fx.engine_a(w), fx.engine_b(w), ("page", "ix")).select("page", "ix", "partner", F.round("likeness", 6).alias("likeness"))
+
+
 def _fixes(spark, d):
     p = table(spark, d, "part")
     other = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.lit("сок"))
@@ -80,7 +86,7 @@ def _by_language(spark, d):
 
 
 QUERIES = {
-    "j3_nearby": j3_nearby,
+    "j3_nearby": j3_nearby, "j3_best_number": j3_best_number,
     "t19_fix_word": lambda spark, d: receipts.fixed_words(_terms(spark, d).select("p_partkey", "core"), "core"),
     "w5_receipt_rows": lambda spark, d: _joined(pages.row_pages(_till(spark, d), receipt=True)),
     "t12_recognised_pages": lambda spark, d: _joined(pages.recognised_pages(_lines(spark, d), receipt=False)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import letters as L
@@ -30,17 +30,32 @@ def joined_hyphens(c: Column) -> Column:
     return F.aggregate(c, F.array().cast("array<string>"), step)
 
 
-def plain_text(words: DataFrame) -> DataFrame:
-    """(doc_id, text): one line a line, a form feed between pages, words cut at line ends joined.
-
-    Pages are put together first, so a document's gathering step holds one string a page.
-    """
+def page_texts(words: DataFrame) -> DataFrame:
+    """(doc_id, page, text): one line a line, words cut at line ends joined."""
     page = lines(words).groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", "line"))), lambda x: x["line"]).alias("l"))
-    page = page.select("doc_id", "page", F.concat(F.array_join(joined_hyphens(F.col("l")), "\n"), F.lit("\n")).alias("text"))
-    by = page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return page.select("doc_id", "page", F.concat(F.array_join(joined_hyphens(F.col("l")), "\n"), F.lit("\n")).alias("text"))
+
+
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, text) of page texts, a form feed between pages; a document's gathering step holds one string a page."""
+    by = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
     return by.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\f").alias("text"))
 
 
+def plain_text(words: DataFrame) -> DataFrame:
+    """(doc_id, text): one line a line, a form feed between pages, words cut at line ends joined."""
+    return joined_pages(page_texts(words))
+
+
+def counted(texts: DataFrame, pages: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """texts of the pages, as they were, and an observation that whatever job reads them fills: pages, words, and pages without text."""
+    seen = Observation(name)
+    n = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
+    all_pages = pages.select("doc_id", "page").join(texts, ["doc_id", "page"], "left")
+    watched = all_pages.observe(seen, F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum(n), F.lit(0)).alias("words"), F.count_if(n == 0).alias("empty"))
+    return watched.where("text is not null"), seen
+
+
 def as_lines(text: Column) -> Column:
     """A text less its last line end, which the text writer adds."""
     return F.regexp_replace(text, r"\n\z", "")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import letters as L
 from pagewright.functions import lexicon, locale
 from pagewright.functions.asking import Languages, with_lexicon
-from pagewright.functions.ocrtext import Reader, script, strip_acute
+from pagewright.functions.ocrtext import Reader, is_number, script, strip_acute
 from pagewright.operators import metrics, pages, planning, spatial
 from pagewright.plans import registry
 from pagewright.sources import readers, sinks
@@ -99,6 +99,21 @@ def test_spatial_against_plain_loops(spark):
         assert (r[1] in left) == (not any(pages._covers(item(r)["box"], list(x[2:])) for x in a if x[0] == r[0]))
 
 
+def test_best_number_around_equals_plain_loops(spark):
+    r = random.Random(8)
+    texts = ["12.50", "12,50", "1250", "(12.50)", "x12.50", "7", "125O", "12.5O 12.50", "ab", "99.1"]
+    make = lambda n: [(1 + k % 2, k, r.choice(texts), *(lambda x, y: (x, y, x + float(r.randrange(20, 60)), y + 20.0))(float(r.randrange(300)), float(r.choice([0, 30, 35])))) for k in range(n)]
+    a, b = make(40), make(40)
+    kind = "page long, ix int, t string, x0 double, y0 double, x1 double, y1 double"
+    got = {x.ix: x.partner for x in spatial.best_number(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), ("page", "ix")).collect()}
+    want = {}
+    for page, ix, t, *box in a:
+        if is_number(t):
+            best = pages.same_number_near({"t": t, "box": box}, [{"ix": i, "t": u, "box": list(c)} for p, i, u, *c in b if p == page], Reader({}, {}))
+            want[ix] = best and best["ix"]
+    assert got == want and any(v is not None for v in want.values())
+
+
 def test_page_tables(spark):
     r = Languages(spark.createDataFrame([("bg", "река", 4.6)], "lang string, word string, zipf double"), "bg", "en")
     words = spark.createDataFrame([(1, 1, 0, 0, 0, "река", 90.0, 0.9, 0.0, 0.0, 40.0, 20.0), (1, 1, 0, 1, 1, "$$", 5.0, 0.9, 50.0, 0.0, 60.0, 20.0)], "doc_id long, page long, line_ix int, word_ix int, ix int, t string, conf double, score double, x0 double, y0 double, x1 double, y1 double")
@@ -246,6 +261,11 @@ def test_command_line_with_two_engines(spark, tmp_path):
     spark.createDataFrame([("bg", "река", 4.6), ("bg", "сок", 3.5), ("en", "late", 5.0)], "lang string, word string, zipf double").write.parquet(lex)
     ask = lambda *more: cli.run(spark, cli.parser().parse_args([str(tmp_path / "in"), "-o", str(tmp_path / "out"), "-l", "bul+eng", "--profile", "book", "--lexicon", lex, *more]))
     assert sorted((r.doc, r.t) for r in ask().collect()) == [("книга 1", "река"), ("книга 1", "сок")]
+    report: dict = {}
+    (book / "0003.tsv").write_text(page([]) + page(["||"]).replace(head, "").replace("\t90\t||", "\t5\t||"))
+    cli.run(spark, cli.parser().parse_args([str(tmp_path / "in"), "-o", str(tmp_path / "counted"), "--lexicon", lex, "--engine", "tesseract"]), report)
+    assert report == {"pages": 2, "words": 2, "empty": 1}
+    (book / "0003.tsv").write_text(head)
     stages = lambda: {f: len(glob.glob(f + "/*.parquet")) for f in glob.glob(str(tmp_path / "out/stages/words/*"))}
     before = stages()
     ask()  # finished pages are not built again
