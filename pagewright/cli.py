@@ -5,7 +5,7 @@
 INPUT holds <document>/<page>.tsv of a recogniser and, for the fused engine, <document>/<page>.json of a second one; auto takes
 the fused engine for Cyrillic languages if there are any. Finished pages are kept below OUTPUT/stages under a key of the settings,
 and a run builds only those that are missing. Each format is a folder of OUTPUT. Pages that a selection asks for and
-that are not there end the run. Lexicons are a table (lang, word, zipf) named by --lexicon; without one no word is known.
+that are not there end the run; files of other pages are not opened. Lexicons are a table (lang, word, zipf) named by --lexicon; without one no word is known.
 """
 
 from __future__ import annotations
@@ -45,17 +45,18 @@ def run(spark: SparkSession, a: argparse.Namespace, report: dict | None = None)
     wanted = [f for f in a.formats.lower().replace(" ", "").split(",") if f]
     if unknown := sorted(set(wanted) - set(FORMATS)):
         raise ValueError(f"unknown formats: {', '.join(unknown)}")
-    words = readers.tsv(spark, f"{a.input.rstrip('/')}/*/*.tsv", a.scale)
+    files = f"{a.input.rstrip('/')}/*/*.tsv"
+    words = readers.tsv(spark, files, a.scale, a.pages)
     sizes = words.groupBy("doc_id", "page").agg(F.ceil(F.max("x1")).cast("int").alias("w"), F.ceil(F.max("y1")).cast("int").alias("h"))
     if a.pages:
-        last = sizes.groupBy("doc_id").agg(F.max("page").alias("n")).withColumn("spec", F.lit(a.pages))
+        last = readers.page_files(spark, files).groupBy("doc_id").agg(F.max("page").alias("n")).withColumn("spec", F.lit(a.pages))
         asked = planning.selected_pages(last).select("doc_id", "page")
         sizes = planning.required(asked, sizes).join(sizes, ["doc_id", "page"])
         words = words.join(asked, ["doc_id", "page"], "left_semi")
     spec = spark.range(1).select(planning.languages(F.lit(a.lang)).alias("l")).first()["l"]
     languages = Languages(spark.read.parquet(a.lexicon) if a.lexicon else None, spec["cyr_lex"], spec["lat_lex"])
     engine = spark.range(1).select(planning.engine(F.lit(a.engine), F.lit(spec["cyr_lex"]), F.lit(spec["recogniser"])).alias("e")).first()["e"]
-    second = readers.recognised(spark, f"{a.input.rstrip('/')}/*/*.json") if engine == "fused" and _any(spark, a.input, "json") else None
+    second = readers.recognised(spark, f"{a.input.rstrip('/')}/*/*.json", a.pages) if engine == "fused" and _any(spark, a.input, "json") else None
     settings = {"engine": "fused" if second is not None else "tesseract", "lang": a.lang, "lexicon": a.lexicon, "scale": a.scale, "normalize": not a.no_normalize}
 
     def work(todo: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,16 +54,21 @@ _TOLD = T.ArrayType(T.StructType([*_WORDS.elementType.fields, T.StructField("zip
 _ASKED = pa.list_(pa.struct([("cyr", pa.bool_()), ("word", pa.string())]))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again. The folder goes when the application ends."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, one of our own, in local sessions alone."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/asked-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again. The folder goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/asked-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import letters as L
 from ..functions import locale
 from ..operators import pages, planning, receipts, reports, spatial
+from ..sources import sinks
+from ..streaming import documents
 from . import fixtures as fx
 from .fixtures import table, with_words
 from .scalars import ORACLE as SCALARS
@@ -85,8 +87,20 @@ def _by_language(spark, d):
     return table(spark, d, "orders").select("o_orderkey", (F.floor("o_totalprice") % 1000 / 1000).alias("x"), (F.floor("o_totalprice") % 100 / 10).alias("y"), F.element_at(F.array(*map(F.lit, _LANGS)), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("lang"))
 
 
+def st_documents(spark, d):
+    """Conversations as documents, turns as their pages: gathered from a stream of the table's files, in any order. One row for each
+    conversation that has all its turns, from 0 on; of equal turns the greatest text counts."""
+    page = ["conv_id as doc_id", "turn + 1 as page", r"concat(coalesce(text, ''), '\n') as text"]
+    n = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg((F.max("turn") + 1).alias("n_pages"))
+    source = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parque[t]")  # a pattern: one file or a folder of them
+    out = documents.gathered(source.selectExpr(*page).join(n, "doc_id"))
+    whole = documents.landed(out).where("state = 'done'")
+    texts = sinks.joined_pages(whole).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return whole.groupBy("doc_id").agg(F.count("*").alias("pages")).join(texts, "doc_id")
+
+
 QUERIES = {
-    "j3_nearby": j3_nearby, "j3_best_number": j3_best_number,
+    "st_documents": st_documents, "j3_nearby": j3_nearby, "j3_best_number": j3_best_number,
     "t19_fix_word": lambda spark, d: receipts.fixed_words(_terms(spark, d).select("p_partkey", "core"), "core"),
     "w5_receipt_rows": lambda spark, d: _joined(pages.row_pages(_till(spark, d), receipt=True)),
     "t12_recognised_pages": lambda spark, d: _joined(pages.recognised_pages(_lines(spark, d), receipt=False)),
@@ -115,6 +129,8 @@ _LANG = "['en', 'de', 'fr', 'bg', 'xx'][o_orderkey % 5 + 1]"
 _X = "CAST(floor(o_totalprice) AS BIGINT) % 1000"
 _shown = lambda v: f"CASE WHEN {_LANG} = 'en' THEN {v} ELSE replace({v}, '.', ',') END"
 ORACLE = {
+    "st_documents": """WITH t AS (SELECT conv_id AS doc_id, turn, max(coalesce(text, '') || chr(10)) AS t FROM conversations WHERE conv_id IS NOT NULL AND turn >= 0 GROUP BY ALL)
+SELECT doc_id, count(*) AS pages, md5(string_agg(t, chr(12) ORDER BY turn)) AS digest FROM t GROUP BY doc_id HAVING count(*) = max(turn) + 1""",
     "j3_nearby": with_words(r""", a AS (SELECT * FROM fa WHERE NOT regexp_matches(t, '[Ѐ-ӿA-Za-z]') AND regexp_matches(t, '\p{Nd}')), b AS (SELECT *, unnest([line_ix - 1, line_ix, line_ix + 1]) AS nl FROM fb WHERE NOT regexp_matches(t, '[Ѐ-ӿA-Za-z]') AND regexp_matches(t, '\p{Nd}'))
  SELECT a.page, a.ix, b.ix AS other FROM a JOIN b ON a.page = b.page AND a.line_ix = b.nl WHERE greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.3 * least(a.y1 - a.y0, b.y1 - b.y0) AND abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) <= greatest(a.x1 - a.x0, b.x1 - b.x0)"""),
     "t19_fix_word": f"SELECT p_partkey, core, coalesce(term, core) AS fixed FROM ({SCALARS['j8_receipt_terms']})",

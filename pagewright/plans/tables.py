@@ -315,7 +315,11 @@ SELECT doc_id, md5(script) AS digest, length(script) AS n FROM s"""),
     "f17_empty_pages": r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '\p{Nd}') ORDER BY doc_id LIMIT 30",
     "f16_formats": "SELECT o_orderkey, array_to_string(list_filter(regexp_split_to_array(lower(o_orderpriority), '[- ]+'), lambda x: x NOT IN ('pdf', 'djvu', 'txt', '1', 'low')), ',') AS unknown FROM orders",
     "s10_tsv": "WITH r AS (SELECT l_orderkey AS page, l_suppkey % 3 AS b, l_linenumber % 2 AS l, CAST(floor(l_extendedprice * 100) AS BIGINT) AS ord, l_returnflag || l_linestatus AS t, CASE WHEN l_linenumber = 5 THEN l_linestatus END AS five, CAST(floor(l_quantity) AS INTEGER) AS x FROM lineitem WHERE l_linenumber % 4 <> 0 AND l_linenumber <> 6) SELECT page, CAST(dense_rank() OVER (PARTITION BY page ORDER BY b, l) - 1 AS INTEGER) AS line_ix, CAST(row_number() OVER (PARTITION BY page, b, l ORDER BY ord) - 1 AS INTEGER) AS word_ix, coalesce(five, t) AS t, 91.5::DOUBLE AS conf, (x * 2)::DOUBLE AS x0, 20::DOUBLE AS y0, ((x + 30) * 2)::DOUBLE AS x1, 44::DOUBLE AS y1 FROM r",
-    "s11_lines": None,
+    "s11_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+c AS (SELECT doc_id, k, length(raw) AS wide, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t FROM l),
+r AS (SELECT doc_id, k, wide, length(t) AS n, unnest(regexp_extract_all(t, '\s+|\S+')) AS p, unnest(range(len(regexp_extract_all(t, '\s+|\S+')))) AS i FROM c),
+o AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM r)
+SELECT doc_id, CAST(k AS INTEGER) AS line_ix, count(*) AS words, round(max(10 + 8.0::DOUBLE * wide * ((a + length(p))::DOUBLE / n)), 4) AS x1, round(sum(10 + 8.0::DOUBLE * wide * (a::DOUBLE / n)), 3) AS x0 FROM o WHERE regexp_matches(p, '\S') GROUP BY doc_id, k""",
     "s7_book_pages": "SELECT p_partkey AS doc_id, CAST(i AS INTEGER) AS page, CAST(p_partkey + i AS INTEGER) AS w, p_size * 100 AS h, 300 AS dpi FROM (SELECT *, unnest(range(1, p_size % 4 + 2)) AS i FROM part)",
     "t41_fit_box": "WITH s AS (SELECT o_orderkey, o_totalprice / 100 + 50 AS ph, least(400.0::DOUBLE / 500, 600 / (o_totalprice / 100 + 50)) AS k FROM orders) SELECT o_orderkey, round(k, 6) AS k, round((400 - 500 * k) / 2, 6) + 0.0::DOUBLE AS dx, round((600 - ph * k) / 2, 6) + 0.0::DOUBLE AS dy FROM s",
     "j15_compare_runs": "SELECT o_orderkey AS sample, 'ours' AS system, CASE WHEN o_orderkey % 3 = 0 THEN 'new' WHEN o_orderkey % 2 = 0 THEN '-0.2500 0.0000' ELSE 'same' END AS delta FROM orders",

@@ -60,9 +60,37 @@ def words_from_tsv(raw: DataFrame, scale: float = 1.0) -> DataFrame:
     return rows.select("doc_id", "page", line.alias("line_ix"), word.alias("word_ix"), "t", F.col("conf").try_cast("double").alias("conf"), (n("left") * scale).alias("x0"), (n("top") * scale).alias("y0"), ((n("left") + n("width")) * scale).alias("x1"), ((n("top") + n("height")) * scale).alias("y1"))
 
 
-def tsv(spark: SparkSession, paths: str, scale: float = 1.0) -> DataFrame:
-    """Word rows of the TSV files below paths; the folder names the document, the file the page."""
-    raw = spark.read.option("sep", "\t").option("quote", "").option("header", True).schema(TSV).csv(paths)
+def page_ranges(spec: str) -> list[tuple[int, int | None]]:
+    """(first, last) of the ranges of a page selection such as '1-3,7,9-'; None: up to the end."""
+    out = []
+    for part in filter(None, (x.strip() for x in spec.split(","))):
+        low, dash, high = part.partition("-")
+        out.append((int(low or 1), (int(high) if high else None) if dash else int(low)))
+    return out
+
+
+def in_ranges(spec: str | None) -> Column:
+    """Whether a file holds a page of a selection (empty: of any). A condition on _metadata, which a scan of files applies to their
+    names before it opens them: put it right on the scan."""
+    if not spec or not spec.strip():
+        return F.lit(True)
+    n = page_number(F.col("_metadata.file_path"))
+    out = F.lit(False)
+    for low, high in page_ranges(spec):
+        out = out | ((n >= low) if high is None else n.between(low, high))
+    return out
+
+
+def page_files(spark: SparkSession, paths: str) -> DataFrame:
+    """(doc_id, page) of the files below paths, by their names alone: no file is opened."""
+    found = spark.read.format("binaryFile").load(paths)
+    return found.select(document(F.col("path")).alias("doc_id"), page_number(F.col("path")).alias("page"))
+
+
+def tsv(spark: SparkSession, paths: str, scale: float = 1.0, spec: str | None = None) -> DataFrame:
+    """Word rows of the TSV files below paths; the folder names the document, the file the page. Only files of the pages that spec
+    selects ('1-3,7,9-') are opened."""
+    raw = spark.read.option("sep", "\t").option("quote", "").option("header", True).schema(TSV).csv(paths).where(in_ranges(spec))
     raw = raw.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ord"))
     return words_from_tsv(raw.withColumns({"doc_id": document(F.col("path")), "page": page_number(F.col("path"))}), scale)
 
@@ -73,8 +101,9 @@ def recognised_lines(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "page", F.posexplode(zipped).alias("line_ix", "z")).select("doc_id", "page", "line_ix", F.col("z.texts").alias("text"), F.col("z.scores").alias("score"), F.col("z.boxes").alias("box"), F.col("z.polys").alias("poly"))
 
 
-def recognised(spark: SparkSession, paths: str) -> DataFrame:
-    raw = spark.read.option("multiLine", True).schema(LINES).json(paths).select("*", F.col("_metadata.file_path").alias("path"))
+def recognised(spark: SparkSession, paths: str, spec: str | None = None) -> DataFrame:
+    """Recognised lines of the JSON files below paths; only files of the pages that spec selects are opened."""
+    raw = spark.read.option("multiLine", True).schema(LINES).json(paths).where(in_ranges(spec)).select("*", F.col("_metadata.file_path").alias("path"))
     return recognised_lines(raw.withColumns({"doc_id": document(F.col("path")), "page": page_number(F.col("path"))}))
 
 

@@ -8,12 +8,15 @@ stands still while nothing comes, and a run over all that is there ends.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.asking import shared_folder
+
 #: Columns of the result: state is done or missing.
 PAGES = "doc_id {kind}, page int, text string, state string"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -100,3 +103,15 @@ def gathered(pages: DataFrame, wait: int = 3_600_000, keep: int = 7 * 86_400_000
     rows = rows.where("doc_id is not null and page >= 1 and (n_pages is null or page <= n_pages)")
     rows = rows.withColumn("arrived", F.current_timestamp()).withColumn("at", F.unix_millis("arrived")).withWatermark("arrived", f"{skew} milliseconds")
     return rows.groupBy("doc_id").transformWithState(Gather(wait, keep), PAGES.format(kind=kind), "Append", "EventTime")
+
+
+def landed(stream: DataFrame) -> DataFrame:
+    """What a stream gives for all that its source holds now: run to the end into a table of the shared folder, which goes with the
+    application."""
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")

@@ -248,6 +248,23 @@ def test_command_line(spark, tmp_path):
         ask("--formats", "docx")
 
 
+def test_files_of_other_pages_are_not_opened(spark, tmp_path):
+    assert readers.page_ranges("1-3, 7,9-,-2") == [(1, 3), (7, 7), (9, None), (1, 2)]
+    for doc in ("one book", "two"):
+        (tmp_path / doc).mkdir()
+        for page in range(1, 13):
+            (tmp_path / doc / f"{page:04}.tsv").write_text(f"level\ttext\n5\t{page}\n")
+    paths = f"{tmp_path}/*/*.tsv"
+    for spec, want in (("3-5", 6), ("2,11-", 6), ("", 24), ("99", 0)):
+        scan = spark.read.option("sep", "\t").option("header", True).schema("level string, text string").csv(paths).where(readers.in_ranges(spec))
+        assert len(scan.collect()) == want
+        metrics = scan._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+        assert metrics.apply("numFiles").value() == want
+    names = readers.page_files(spark, paths)
+    assert {(r.doc_id, r.page) for r in names.collect()} == {(d, p) for d in ("one book", "two") for p in range(1, 13)}
+    assert "content" not in names._jdf.queryExecution().executedPlan().collectLeaves().head().output().mkString()
+
+
 def test_command_line_with_two_engines(spark, tmp_path):
     from pagewright import cli
 
