@@ -210,7 +210,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     rows = cut(rows.select("vec_id", "m.embedding", "m.label"))
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = rows.where(F.coalesce(fine, F.lit(False))).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)))
+    # Scaled by a power of two, which rounds nothing: squares of very large or small components stay in range. The struct in an array
+    # of one binds the scale, so that it is found once a row.
+    scale = F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.floor(F.log2(F.array_max(F.transform(v, F.abs)))).cast("double")))
+    scaled = F.transform(F.array(F.struct(v.alias("v"), scale.alias("k"))), lambda s: F.transform(s["v"], lambda x: x * s["k"] + F.lit(0.0)))[0]
+    good = rows.where(F.coalesce(fine, F.lit(False))).withColumn("embedding", scaled)
     good = good.withColumn("g", F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string")))
     good = good.withColumn("h", F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256))
     classes = cut(good.groupBy("g", "h").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("mult"), F.first("embedding").alias("embedding")))

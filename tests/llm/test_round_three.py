@@ -1,4 +1,4 @@
-"""Packing, conversation repair and ranking with ties against brute force, and their edge cases."""
+"""Packing, conversation repair and ranking with ties against brute force, edge cases of all operators of round three."""
 
 import hashlib
 import itertools
@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagewright.llm import bpeids, packing, ranking, repair
+from pagewright.llm import bpeids, chaining, covertree, packing, ranking, repair
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -294,3 +294,24 @@ def test_fingerprints_select_mappings(spark, monkeypatch):
     assert got() == [None, *want[1:6], None, None]
     monkeypatch.setattr(chat, "MAPPINGS", {})
     assert got() == [None] * 8
+
+
+def test_near_vectors_of_extreme_size(spark):
+    """Squares of these components leave the range of double precision; directions alone decide."""
+    base = [[3.0, 4.0, 0.0, 0.5], [0.0, 1.0, 2.0, -1.0]]
+    sizes = (1.0, 1e-200, 1e200, 5e-310, 1e307)
+    rows = [(k * len(sizes) + n, [x * s for x in v], "a") for k, v in enumerate(base) for n, s in enumerate(sizes)]
+    rows.append((90, [1e-200, 0.0, 0.0, 1e200], "a"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in covertree.near_vectors(df).collect()}
+    assert got == {i: (4, i - i % 5, i % 5 == 0) for i in range(10)} | {90: (0, 90, True)}
+
+
+def test_places_beyond_three_bytes(monkeypatch):
+    far = np.array([0, 5, (1 << 24) + 5, (1 << 32) - 1], np.uint32)
+    assert (chaining._numbers(chaining._bytes(far, chaining.PLACE), chaining.PLACE, "<u4") == far).all()
+    h = np.random.default_rng(1).integers(1, 1 << 62, 3000).astype(np.uint64)
+    bounds = np.array([0, 1200, 3000])
+    want = chaining.seeds(h, bounds)
+    monkeypatch.setattr(chaining, "LOW", 4)  # a batch longer than the bits that are set aside takes more of them
+    assert all((a == b).all() for a, b in zip(want, chaining.seeds(h, bounds), strict=True))
