@@ -268,14 +268,45 @@ def test_decontaminate(spark, monkeypatch):
             both = grams(words(t)) & own
             if n and k and 5 * len(both) >= 4 * len(own):
                 want.add((i, n, len(own), len(both)))
-    for block in (20000, 2):
-        monkeypatch.setattr(decontaminate, "BLOCK", block)
+    for bits in (1 << 27, 1 << 10, 64):  # a filter that is full lets everything through to the joins
+        monkeypatch.setattr(decontaminate, "BITS", bits)
         got = [tuple(r) for r in decontaminate.contaminated(frame(spark, [*ROWS, (None, "one two")]), bench).collect()]
         assert set(got) == want and len(got) == len(want)
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
     assert decontaminate.contaminated(frame(spark), bench.limit(0)).count() == 0
 
 
+def test_items_are_found_as_brute_force_does(spark):
+    """Items of all sizes in random documents, one of them holds every item, many times over; one id with two texts."""
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(60)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(n) for n in (1, 3, 5, 9, 20, 40, 70, 9000)]
+    docs = []
+    for k in range(40):
+        d = text(rng.randint(0, 400))
+        at = rng.randint(0, len(d))
+        part = list(items[k % 8])
+        if k % 3 == 0 and len(part) > 20:
+            part[3] = "edit"
+        docs.append((k, " ".join(d[:at] + part + d[at:])))
+    docs += [(40, " ".join(" ".join(x) for x in items * 20)), (7, docs[6][1]), (7, docs[6][1])]
+    most: dict = {}
+    for r, d in docs:
+        w = d.split()
+        for n, x in enumerate(items):
+            k = min(5, len(x))
+            grams = lambda ws, k=k: {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
+            both = len(grams(x) & grams(w))
+            if both * 5 >= 4 * len(grams(x)):
+                most[r, n] = max(both, most.get((r, n), 0))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.contaminated(frame(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id): r.n_common for r in got} == most and len(got) == len(most)
+
+
 def test_language_id(spark):
     rows = [(k, ("the house of " if k % 2 else "la maison est ") * 5 + str(k)) for k in range(60)] + [(100, None), (101, ""), (102, "12 !"), (103, "the house"), (103, "the house")]
     docs = frame(spark, rows).withColumn("lang", F.when(F.col("doc_id") == 3, None).otherwise(F.when(F.col("doc_id") % 2 == 1, "en").otherwise("fr")))

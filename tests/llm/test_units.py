@@ -388,36 +388,13 @@ def test_kernel_is_the_presence_kernel():
     assert min(np.abs(got - np.array(want)).max(), np.abs(got[:, ::-1] - np.array(want)).max()) < 1e-6
 
 
-def test_items_are_found_as_brute_force_does():
-    rng = random.Random(8)
-    vocabulary = [f"w{k}" for k in range(60)]
-    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [text(n) for n in (1, 3, 5, 9, 20, 40, 70)]
-    docs = []
-    for k in range(40):
-        d = text(rng.randint(0, 400))
-        at = rng.randint(0, len(d))
-        part = list(items[k % 7])
-        if k % 3 == 0 and len(part) > 20:
-            part[3] = "edit"
-        docs.append(" ".join(d[:at] + part + d[at:]))
-    block = decontaminate.Items(list(range(7)), [" ".join(x) for x in items])
-    got = set()
-    for i, _, data, offsets in wh.chunks(pa.array(docs)):
-        h, bounds, _, _ = wh.words(data, offsets)
-        for k in block.runs:
-            g, at = wh.shingles(h, bounds, k, short=False) if k == wh.SHINGLE else decontaminate._runs(h, bounds, k)
-            got |= {(i + r, block.ids[n], both) for r, n, both in block.search(g, at, k, 4, 5)}
-    want = set()
-    for r, d in enumerate(docs):
-        w = d.split()
-        for n, x in enumerate(items):
-            k = min(5, len(x))
-            grams = lambda ws, k=k: {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
-            both = len(grams(x) & grams(w))
-            if both * 5 >= 4 * len(grams(x)):
-                want.add((r, n, both))
-    assert got == want
+def test_minima_are_taken_in_steps(monkeypatch):
+    s = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    whole = decontaminate._minima(s)
+    monkeypatch.setattr(decontaminate, "STEP", 7)
+    assert all((a == b).all() for a, b in zip(whole, decontaminate._minima(s), strict=True))
+    h = s[:, None] * decontaminate.MULTIPLY + decontaminate.ADD
+    assert (whole[0] == h.min(0)).all() and (whole[1] == s[h.argmin(0)]).all()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/x">Menu</a></ul></nav>
