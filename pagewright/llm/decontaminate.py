@@ -40,22 +40,16 @@ ANY = 63
 _rng = np.random.Generator(np.random.PCG64(9))
 MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+INVERSE = np.array([pow(int(m), -1, 1 << 64) for m in MULTIPLY], np.uint64)
 FUNCTION = np.arange(HASHES, dtype=np.uint64) * wh.P
 
 
 def _minima(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least value of each hash function over shingles s and the shingle that attains it."""
-    low, least = None, None
-    for i in range(0, len(s), STEP):
-        h = s[i : i + STEP, None] * MULTIPLY + ADD
-        at = h.argmin(0)
-        value, shingle = h[at, np.arange(HASHES)], s[i + at]
-        if low is None:
-            low, least = value, shingle
-        else:
-            less = value < low
-            low, least = np.where(less, value, low), np.where(less, shingle, least)
-    return low, least
+    """The least value of each hash function over shingles s and the shingle that attains it: the functions have inverses."""
+    low = (s[:STEP, None] * MULTIPLY + ADD).min(0)
+    for i in range(STEP, len(s), STEP):
+        low = np.minimum(low, (s[i : i + STEP, None] * MULTIPLY + ADD).min(0))
+    return low, (low - ADD) * INVERSE
 
 
 def _tagged(g: np.ndarray, k: int, size: int) -> np.ndarray:
