@@ -15,26 +15,38 @@ from ..functions import letters as L
 from ..functions.ocrtext import ROUND_NUMBER, Reader, ratio
 
 BAND = 40
+#: Columns of banded tables: the first band that a word reaches, and one that it reaches.
+FIRST, ON = "band_first", "band_on"
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
+def banded(df: DataFrame, band: int = BAND) -> DataFrame:
+    """A row for each band that a word reaches: columns FIRST and ON."""
+    first, last = (F.floor(F.col(y) / band).cast("int") for y in ("y0", "y1"))
+    return df.withColumn(FIRST, first).withColumn(ON, F.explode(F.sequence(first, F.greatest(first, last))))
+
+
+def once(df: DataFrame) -> DataFrame:
+    """The words of a table that may be banded, each once."""
+    return df.where(F.col(ON) == F.col(FIRST)).drop(FIRST, ON) if ON in df.columns else df
+
+
 def pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("page",), band: int = BAND) -> DataFrame:
-    """Pairs whose bands meet; left columns are named l_*, right ones r_*."""
+    """Pairs whose bands meet; left columns are named l_*, right ones r_*. Tables that are banded already are taken as they are."""
 
-    def banded(df: DataFrame, p: str) -> DataFrame:
-        out = df.select(*(F.col(c).alias(p + c) for c in df.columns))
-        first, last = (F.floor(F.col(p + y) / band).cast("int") for y in ("y0", "y1"))
-        return out.withColumn(p + "first", first).withColumn(p + "band", F.explode(F.sequence(first, F.greatest(first, last))))
+    def named(df: DataFrame, p: str) -> DataFrame:
+        out = df if ON in df.columns else banded(df, band)
+        return out.select(*(F.col(c).alias(p + c.removeprefix("band_")) for c in out.columns))
 
-    a, b = banded(left, "l_"), banded(right, "r_")
-    meet = [a[f"l_{k}"] == b[f"r_{k}"] for k in keys] + [a.l_band == b.r_band, a.l_band == F.greatest(a.l_first, b.r_first)]
+    a, b = named(left, "l_"), named(right, "r_")
+    meet = [a[f"l_{k}"] == b[f"r_{k}"] for k in keys] + [a.l_on == b.r_on, a.l_on == F.greatest(a.l_first, b.r_first)]
     on = meet[0]
     for m in meet[1:]:
         on = on & m
-    return a.join(b, on).drop("l_first", "l_band", "r_first", "r_band").withColumns({
+    return a.join(b, on).drop("l_first", "l_on", "r_first", "r_on").withColumns({
         "ox": overlap(F.col("l_x0"), F.col("l_x1"), F.col("r_x0"), F.col("r_x1")),
         "oy": overlap(F.col("l_y0"), F.col("l_y1"), F.col("r_y0"), F.col("r_y1")),
         "lh": F.col("l_y1") - F.col("l_y0"), "rh": F.col("r_y1") - F.col("r_y0"),
@@ -50,6 +62,7 @@ def best_partner(left: DataFrame, right: DataFrame, left_id: tuple[str, ...], ri
     p = pairs(left, right, keys).where(F.col("oy") >= 0.5 * F.least("lh", "rh"))
     p = p.withColumn("v", F.col("ox") / F.greatest(F.lit(1), F.greatest("lw", "rw"))).where(F.col("v") >= 0.4)
     best = p.groupBy(*(F.col("l_" + c).alias(c) for c in left_id)).agg(F.min(F.struct((-F.col("v")).alias("v"), F.col("r_" + right_ix).alias("ix"))).alias("b"))
+    left = once(left)
     return left.join(best, list(left_id), "left").select(*left.columns, F.col("b.ix").alias("partner"), (-F.col("b.v")).alias("overlap"))
 
 
@@ -67,14 +80,14 @@ def covers() -> Column:
 def uncovered(right: DataFrame, boxes: DataFrame, right_id: tuple[str, ...], keys: tuple[str, ...] = ("page",)) -> DataFrame:
     """The right words that no box covers."""
     hit = pairs(right, boxes, keys).where(covers()).select(*(F.col("l_" + c).alias(c) for c in right_id)).distinct()
-    return right.join(hit, list(right_id), "left_anti")
+    return once(right).join(hit, list(right_id), "left_anti")
 
 
 def not_printed_there(right: DataFrame, words: DataFrame, right_id: tuple[str, ...], keys: tuple[str, ...] = ("page",)) -> DataFrame:
     """The right words (numbers) that no word with the same text, marks stripped, covers."""
     strip = lambda c: F.trim(F.col(c), F.lit("(),;:"))
     hit = pairs(right, words, keys).where(covers() & (strip("l_t") == strip("r_t"))).select(*(F.col("l_" + c).alias(c) for c in right_id)).distinct()
-    return right.join(hit, list(right_id), "left_anti")
+    return once(right).join(hit, list(right_id), "left_anti")
 
 
 def nearby(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:
@@ -100,4 +113,4 @@ def best_number(left: DataFrame, right: DataFrame, left_id: tuple[str, ...], rig
     near = near.withColumn("likeness", likeness("own", "text")).where("likeness > 0")
     best = near.groupBy(*left_id).agg(F.min(F.struct((-F.col("likeness")).alias("far"), "other")).alias("b"))
     best = best.select(*left_id, F.col("b.other").alias("partner"), (-F.col("b.far")).alias("likeness"))
-    return numbers.join(best, list(left_id), "left")
+    return once(numbers).join(best, list(left_id), "left")

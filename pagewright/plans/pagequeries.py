@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import letters as L
 from ..functions import locale
 from ..operators import pages, planning, receipts, reports, spatial
-from ..sources import sinks
+from ..sources import sinks, stores
 from ..streaming import documents
 from . import fixtures as fx
 from .fixtures import table, with_words
 from .scalars import ORACLE as SCALARS
 from .scalars import _terms
+from .tables import ORACLE as TABLES
 
 
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -99,7 +102,36 @@ def st_documents(spark, d):
     return whole.groupBy("doc_id").agg(F.count("*").alias("pages")).join(texts, "doc_id")
 
 
+def _stored(spark, d):
+    """Both engines' words as bucketed tables."""
+    w = fx.words(spark, d)
+    keep = lambda df: stores.store_words(df, f"words_{uuid.uuid4().hex}", stores.temporary(spark, "words"))
+    return keep(fx.engine_a(w).withColumn("x1", F.col("x1") + 60)), keep(fx.engine_b(w))
+
+
+def j2_stored(spark, d):
+    a, b = _stored(spark, d)
+    return spatial.covered_words(a, b, ("page", "ix")).select("page", "ix", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"))
+
+
+def _scores(spark, d):
+    """Documents as runs: the source is the sample, the language the system, and the date follows the source's length."""
+    by = table(spark, d, "documents").groupBy(F.col("source").alias("sample"), F.col("lang").alias("system"))
+    acc = lambda k: (F.floor(F.count_if(F.col("doc_id") % k == 0) * 10000 / F.count("*")) / 10000).cast("decimal(10,4)")
+    date = F.format_string("2024-01-%02d", F.coalesce(F.length("sample"), F.lit(1)).cast("int"))
+    return by.agg(F.count("*").alias("words"), acc(3).alias("word_acc"), acc(7).alias("char_acc")).select("*", date.alias("date"), F.lit("c1").alias("commit"), F.lit("1").alias("version"))
+
+
+def k10_runs(spark, d):
+    """All runs stored, then all again, and at last those of languages from f on by a later version: one row a run is left."""
+    path, s = stores.temporary(spark, "runs"), _scores(spark, d)
+    for run in (s.withColumn("words", F.lit(0)), s, s.where("system >= 'f'").withColumns({"version": F.lit("2"), "words": F.col("words") + 1})):
+        stores.put_runs(run, path)
+    return stores.runs(spark, path)
+
+
 QUERIES = {
+    "j2_stored_words": j2_stored, "k10_runs": k10_runs,
     "st_documents": st_documents, "j3_nearby": j3_nearby, "j3_best_number": j3_best_number,
     "t19_fix_word": lambda spark, d: receipts.fixed_words(_terms(spark, d).select("p_partkey", "core"), "core"),
     "w5_receipt_rows": lambda spark, d: _joined(pages.row_pages(_till(spark, d), receipt=True)),
@@ -129,6 +161,10 @@ _LANG = "['en', 'de', 'fr', 'bg', 'xx'][o_orderkey % 5 + 1]"
 _X = "CAST(floor(o_totalprice) AS BIGINT) % 1000"
 _shown = lambda v: f"CASE WHEN {_LANG} = 'en' THEN {v} ELSE replace({v}, '.', ',') END"
 ORACLE = {
+    "j2_stored_words": TABLES["j2_covered_words"],
+    "k10_runs": """WITH s AS (SELECT source AS sample, lang AS system, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS a, count(*) FILTER (doc_id % 7 = 0) AS b FROM documents GROUP BY ALL)
+SELECT 'c1' AS commit, CASE WHEN system >= 'f' THEN '2' ELSE '1' END AS version, n + CASE WHEN system >= 'f' THEN 1 ELSE 0 END AS words, CAST(a * 10000 // n / 10000 AS DECIMAL(10, 4)) AS word_acc,
+ CAST(b * 10000 // n / 10000 AS DECIMAL(10, 4)) AS char_acc, '2024-01-' || lpad(CAST(coalesce(length(sample), 1) AS VARCHAR), 2, '0') AS date, sample, system FROM s""",
     "st_documents": """WITH t AS (SELECT conv_id AS doc_id, turn, max(coalesce(text, '') || chr(10)) AS t FROM conversations WHERE conv_id IS NOT NULL AND turn >= 0 GROUP BY ALL)
 SELECT doc_id, count(*) AS pages, md5(string_agg(t, chr(12) ORDER BY turn)) AS digest FROM t GROUP BY doc_id HAVING count(*) = max(turn) + 1""",
     "j3_nearby": with_words(r""", a AS (SELECT * FROM fa WHERE NOT regexp_matches(t, '[Ѐ-ӿA-Za-z]') AND regexp_matches(t, '\p{Nd}')), b AS (SELECT *, unnest([line_ix - 1, line_ix, line_ix + 1]) AS nl FROM fb WHERE NOT regexp_matches(t, '[Ѐ-ӿA-Za-z]') AND regexp_matches(t, '\p{Nd}'))
