@@ -104,8 +104,9 @@ def st_documents(spark, d):
 
 def _stored(spark, d):
     """Both engines' words as bucketed tables."""
-    w = fx.words(spark, d)
-    keep = lambda df: stores.store_words(df, f"words_{uuid.uuid4().hex}", stores.temporary(spark, "words"))
+    n = fx.parts(spark, d)
+    w = fx.words(spark, d, n)
+    keep = lambda df: stores.store_words(df, f"words_{uuid.uuid4().hex}", stores.temporary(spark, "words"), n, lie=True)
     return keep(fx.engine_a(w).withColumn("x1", F.col("x1") + 60)), keep(fx.engine_b(w))
 
 

@@ -40,16 +40,16 @@ def temporary(spark: SparkSession, what: str) -> str:
     return path
 
 
-def store_words(words: DataFrame, name: str, path: str | None = None, buckets: int | None = None, keys: tuple[str, ...] = ("page",)) -> DataFrame:
-    """words as the table name, in files by page and band (spatial.banded), and that table read again.
+def store_words(words: DataFrame, name: str, path: str | None = None, buckets: int | None = None, keys: tuple[str, ...] = ("page",), lie: bool = False) -> DataFrame:
+    """words as the table name, in files by page that hold a row for each band (spatial.banded), and that table read again.
 
-    Two tables with the same number of buckets join by place as they lie, without an exchange. A page with very many words
-    lies in as many buckets as it has bands. The number of buckets (at first that of shuffle partitions) should follow the
-    words: a bucket of each side is what one task joins.
+    Two tables with the same number of buckets join by place and are gathered by page as they lie, without an exchange. The
+    number of buckets (at first that of shuffle partitions) should follow the words: a bucket of each side is what one task
+    joins, and a page lies in one. lie: words are dealt to that many tasks by keys (spatial.dealt) and need not move.
     """
     spark = words.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = (*keys, spatial.ON)
-    out = spatial.banded(words).repartition(n, *by).write.mode("overwrite").format("parquet").bucketBy(n, *by).sortBy(*by)
+    out = spatial.banded(words if lie else spatial.dealt(words, n, *keys)).write.mode("overwrite").format("parquet").option("compression", "zstd")
+    out = out.bucketBy(n, *keys).sortBy(*keys, spatial.ON)
     (out.option("path", path) if path else out).saveAsTable(name)
     return spark.table(name)

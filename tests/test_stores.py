@@ -56,3 +56,34 @@ def test_stored_words_join_without_an_exchange(spark, tmp_path):
         assert re.search(r"\bExchange\b", spatial.pairs(a, b)._jdf.queryExecution().executedPlan().toString())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_joins_of_dealt_pages_move_no_words(spark, tmp_path):
+    """Words of texts are dealt once, as texts: joins by place, lines and stored words need no further exchange."""
+    from pagewright.plans import fixtures as fx
+    from pagewright.plans.pagequeries import _stored
+    from pagewright.sources import sinks
+
+    texts = [(1, "one two  three\nfour " * 9), (2, ""), (3, None), (4, "a" * 30)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    w = fx.words(spark, str(tmp_path))
+    got = [(r.page, r.line_ix, r.word_ix, r.ix, r.t, r.x0, r.y0, r.x1, r.y1) for r in w.orderBy("page", "ix").collect()]
+    want = []
+    for page, text in texts:
+        at = 0
+        for ix, t in enumerate((text or "").replace("\n", " ").split(" ")):
+            at = at if ix % 12 else 0
+            if t:
+                want.append((page, ix // 12, ix % 12, ix, t, at * 10.0, ix // 12 * 30.0, (at + len(t)) * 10.0, ix // 12 * 30.0 + 20))
+            at += len(t) + 1
+    assert got == want
+    moves = lambda df: len(re.findall(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        a, b = fx.engine_a(w), fx.engine_b(w)
+        for f in (spatial.best_partner, spatial.covered_words, spatial.uncovered, spatial.not_printed_there):
+            assert 0 < moves(f(a, b, ("page", "ix"))) <= 3  # the texts, once for each reading of the words
+        assert moves(sinks.lines(w.withColumnRenamed("page", "doc_id").withColumn("page", F.lit(1)))) == 1
+        assert moves(spatial.covered_words(*_stored(spark, str(tmp_path)), ("page", "ix"))) == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
