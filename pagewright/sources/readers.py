@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,13 +109,40 @@ def recognised(spark: SparkSession, paths: str, spec: str | None = None) -> Data
     return recognised_lines(raw.withColumns({"doc_id": document(F.col("path")), "page": page_number(F.col("path"))}))
 
 
+#: Bytes that part words: white space of ASCII, as in the patterns here.
+BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def placed_words(text: Column) -> Column:
+    """Words of a line, with the places of their first character and of the one behind their last."""
+    return F.arrow_udf(_placed, "array<struct<t:string,a:int,z:int>>")(text)
+
+
+def _placed(text: pa.Array) -> pa.Array:
+    """All lines of a batch at a time, by their bytes, so that a line of any length costs no more than its length."""
+    text = text.cast(pa.string()).fill_null("")
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+    held = text.buffers()[2] if len(text) else None
+    data = np.frombuffer(held if held is not None else b"", np.uint8)[offsets[0] : offsets[-1]]
+    at = offsets.astype(np.int64) - offsets[0]
+    ink = ~BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)  # before a line's first byte and behind its last
+    edge[at] = True
+    starts = np.flatnonzero(ink & (edge[:-1] | ~np.append(False, ink[:-1])))
+    ends = np.flatnonzero(ink & (edge[1:] | ~np.append(ink[1:], False))) + 1
+    before = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # characters before each byte
+    own = before[at[np.searchsorted(at, starts, "right") - 1]]
+    lengths = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(lengths), pa.py_buffer(data[ink]))
+    places = [pa.array((before[x] - own).astype(np.int32)) for x in (starts, ends)]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, at).astype(np.int32)), pa.StructArray.from_arrays([words, *places], ["t", "a", "z"]))
+
+
 def line_to_words(lines: DataFrame, scale: float = 1.0) -> DataFrame:
     """Words of recognised lines, boxes by their share of the line's characters; along the quadrilateral where there is one."""
     text = F.regexp_replace("text", r"^\s+|\s+$", "")
     lines = lines.withColumn("text", text).where("text <> ''").withColumn("n", F.length("text"))
-    runs = F.regexp_extract_all("text", F.lit(r"(\s+|\S+)"), 1)
-    step = "aggregate(runs, named_struct('at', 0, 'out', cast(array() as array<struct<t:string,a:int,z:int>>)), (s, r) -> named_struct('at', s.at + length(r), 'out', if(r rlike '^\\\\S', concat(s.out, array(struct(r as t, s.at as a, s.at + length(r) as z))), s.out))).out"
-    words = lines.withColumn("runs", runs).withColumn("words", F.expr(step)).select("*", F.posexplode("words").alias("word_ix", "w"))
+    words = lines.withColumn("words", placed_words(F.col("text"))).select("*", F.posexplode("words").alias("word_ix", "w"))
     f, g = F.col("w.a") / F.col("n"), F.col("w.z") / F.col("n")
     slanted = F.coalesce(F.size("poly") == 4, F.lit(False))
     corner = lambda k, axis, box: F.when(slanted, F.get(F.get("poly", F.lit(k)), F.lit(axis))).otherwise(F.get("box", F.lit(box)))
