@@ -111,3 +111,30 @@ def test_receipt_words_that_the_lexicon_knows_stay(spark, lexicon):
     words = spark.createDataFrame([("КАРТА",), ("KAPTA",), ("цени",), ("СУМЯ",), (None,)], "w string")
     got = {r.w: r.fixed for r in receipts.fixed_words(words, "w", Languages(lexicon, "bg", "en")).collect()}
     assert got == {w: None if w is None else receipts.fix_word(w, Reader(CYR, LAT).known) for w in got}
+
+
+def test_a_decision_is_made_once_for_all_rows_and_a_lexicon_is_worked_out_once(spark, lexicon, monkeypatch):
+    from pagewright.functions import asking
+
+    tables, real = [], asking.written
+    monkeypatch.setattr(asking, "written", lambda df: tables.append(real(df)) or tables[-1])
+    rows = spark.range(300).select("id", F.array(F.lit("тoй"), F.lit("cok"), F.lit("lake"), F.lit("stone")).alias("t"))
+    got = with_lexicon(rows, ["id"], lambda row, reader: " ".join(reader.choose(t, None, "cyr") for t in row["t"]), T.StringType(), Languages(lexicon, "bg", "en"))
+    whole = Reader(CYR, LAT)
+    assert {r.result for r in got.collect()} == {" ".join(whole.choose(t, None, "cyr") for t in ("тoй", "cok", "lake", "stone"))}
+    questions = [t for t in tables if "q" in t.columns]
+    assert max(t.count() for t in questions) < 5  # words of 300 rows; stone and lake, which no other word looks like, ask nothing
+    assert sum(t.columns == ["cyr", "word", "zipf"] for t in tables) == 1
+
+
+def test_a_row_that_lacks_nothing_is_not_run_again(spark, lexicon):
+    """Only answers that differ from those without a lexicon come back, and what is done carries no words on."""
+    from pagewright.functions import asking
+
+    rows = spark.createDataFrame([(1, "stone"), (2, "cok")], "id long, t string")
+    steps = asking._by_decisions(lambda row, reader: reader.choose(row["t"], None, "cyr"))()
+    first = {i: steps({"id": i, "t": t}, [], []) for i, t in ((1, "stone"), (2, "cok"))}
+    assert first[1] == ("stone", []) and [x["q"] for x in first[2][1]] == ['["choose", "cok", null, "cyr"]']
+    assert steps({"id": 2, "t": "cok"}, [{"q": first[2][1][0]["q"], "a": '"сок"'}], first[2][1]) == ("сок", [])
+    got = with_lexicon(rows, ["id"], lambda row, reader: reader.choose(row["t"], None, "cyr"), T.StringType(), Languages(lexicon, "bg", "en"))
+    assert {r.id: r.result for r in got.collect()} == {1: "stone", 2: Reader(CYR, LAT).choose("cok", None, "cyr")}
