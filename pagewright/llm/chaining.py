@@ -8,6 +8,12 @@ lead to other texts than a long shared passage does; the longer keys lead to a t
 an unchanged passage of 50 begin with a seed within its first 10 words, so no such passage goes without a text that holds
 40 words of it.
 
+That star alone leaves links out: the keys of an edited passage may all have been met before in other texts. So a second round asks,
+for words that the first one left outside of passages: every two shared seeds of a text within REACH words are an edge, and the
+texts that hold an edge fall into classes by the exact words from the one seed to the other. A text that asks is compared with the first
+text of every other class and of its own, however frequent the edge, over all runs of five words around it, not minimizers only. So if
+f and a later text share seeds up to REACH words apart, the first text that holds these very words of f is compared with it.
+
 The matches of two texts are chained: a chain is ordered in both, gains K for a seed and pays GAP for each word between neighbours
 on either side (a Fenwick tree of prefix maxima finds the best predecessor). Chains are aligned word by word: equal runs count,
 gaps between anchors get an edit alignment, the ends are extended. A chain with too few equal words is split at its most unequal
@@ -39,6 +45,10 @@ RUNS, CROWD = (SPAN, 40), 8
 PACK = 1 << 20
 #: Words beyond a chain's ends that may still belong to it: an equal run of K + W - 1 words holds a seed.
 MARGIN = K + W
+#: Words from the first to the last seed of an edge; passages of LEAST words reach no farther.
+REACH = 64
+#: Pairs of edges made at once.
+PAIRS = 1 << 20
 #: Least bits for a place in a batch; longer batches take more.
 LOW = 26
 #: Bytes of a word's place in its text, and of a text's place in its pack.
@@ -200,7 +210,10 @@ def _meet(ranges: int):
         doc, pos, g, crowd = doc[order], pos[order], g[order], crowd[order]
         start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         lead = np.repeat(start, np.diff(np.append(start, len(g))))
-        other = (doc != doc[lead]) & ~crowd
+        # A seed's places in its first text go to that text, if another text holds it: the second round needs all who share a seed.
+        alone = np.minimum.reduceat(doc, start) == np.maximum.reduceat(doc, start)
+        alone = np.repeat(alone & ~np.logical_or.reduceat(crowd, start), np.diff(np.append(start, len(g))))
+        other = ((doc != doc[lead]) | ((g & np.uint64(3)) == 0) & ~alone) & ~crowd
         lead = lead[other]
         out = [(k, m, None, None, None, None, n) for k, m, n in _packed(ranges, doc[other], pos[other], doc[lead], pos[lead], (g[other] & np.uint64(3)).astype(np.int64))]
         asked = start[np.logical_or.reduceat(crowd, start)]
@@ -240,7 +253,7 @@ def _answered(ranges: int):
             for r in b.to_pylist():
                 m = np.frombuffer(r["m"], np.int32).reshape(-1, 2)
                 d = np.frombuffer(r["names"], np.int64)[m[:, 0]]
-                other = d != r["doc_id"]
+                other = np.full(len(d), not r["key"] & 3) | (d != r["doc_id"])
                 same = np.ones(int(other.sum()), np.int64)
                 for held, x in ((doc, d[other]), (pos, m[other, 1].astype(np.int64)), (ref, same * r["doc_id"]), (at, same * r["at"]), (kind, same * (r["key"] & 3))):
                     held.append(x)
@@ -250,7 +263,8 @@ def _answered(ranges: int):
 
 
 def _gather(batches):
-    """Ranges of documents, sorted: of each document with two matches or more all of them, by the earlier document."""
+    """Ranges of documents, sorted: of each document with two matches or more all of them, by the earlier document. Its own places
+    of seeds that it is the first to hold are among them, as matches with itself."""
 
     def solve(held):
         doc, ref, m = (np.concatenate(x) for x in zip(*(_unpacked(*r) for r in held), strict=True))
@@ -369,13 +383,181 @@ def _chain(batches):
                 w = h[bounds[r - i] : bounds[r - i + 1]]
                 refs = np.frombuffer(b.column(2)[r].as_py(), np.int64)
                 m = np.frombuffer(b.column(3)[r].as_py(), np.int32).reshape(-1, 3).astype(np.int64)
-                for ref, c in useful_chains(refs, m, len(w)):
+                others = refs != ids[r]
+                if not others.any():
+                    continue
+                for ref, c in useful_chains(refs[others], m[others], len(w)):
                     lo, hi = max(0, int(c[0, 0]) - MARGIN), min(len(w), int(c[-1, 0]) + K + MARGIN)
                     low = max(0, int(c[0, 1]) - MARGIN)
                     out.append((int(ids[r]), ref, c.astype(np.int32).tobytes(), lo, w[lo:hi].tobytes(), low, int(c[-1, 1]) + K + MARGIN - low))
         yield _batch(out, ("doc_id", "ref", "chain", "lo", "words", "ref_lo", "ref_n"), (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32()))
 
 
+def edges(pos: np.ndarray, seed: np.ndarray, h: np.ndarray):
+    """(place of the first seed, place of the second, hash of the two, hash of the words from the one to the other) of the edges
+    of a text; its seeds in order. Repeats of one word are no edge: they are an unchanged run, which the first round matches."""
+    up, down = wh.powers(len(h) + 1)
+    total = np.append(np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)]))
+    change = np.append(0, np.cumsum(h[1:] != h[:-1]))
+    out = []
+    for k in range(1, REACH):
+        near = np.flatnonzero(pos[k:] - pos[:-k] <= REACH)
+        if not len(near):
+            break
+        near = near[change[pos[near]] < change[pos[near + k] + K - 1]]
+        a, z = pos[near], pos[near + k]
+        out.append((a, z, wh.mix(seed[near] * wh.MIX[0] + seed[near + k] * wh.MIX[1]), wh.mix((total[z + K] - total[a]) * down[a])))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else None
+
+
+EDGES_SQL = "bucket int, m binary, at long"
+
+
+def _edges(buckets: int):
+    """Texts (doc_id, text, refs, m, covered: their passages): edges, packed by bucket. An edge asks unless a passage covers it;
+    of edges that do not ask and have equal words only the first text's is sent."""
+
+    def sent(rows):
+        doc, a, z, key, words, asks = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.lexsort((a, doc, words, key))
+        doc, a, z, key, words, asks = doc[order], a[order], z[order], key[order], words[order], asks[order]
+        keep = asks | np.append(True, (key[1:] != key[:-1]) | (words[1:] != words[:-1]))
+        where = (key[keep] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(where, kind="stable")
+        doc, a, z, key, words, asks = (x[keep][by] for x in (doc, a, z, key, words, asks))
+        cuts = np.searchsorted(where[by], np.arange(buckets + 1))
+        codec, out = pa.Codec("zstd", 1), []
+        for k in np.flatnonzero(np.diff(cuts)):
+            x = slice(cuts[k], cuts[k + 1])
+            step = ((z[x] - a[x]) << 1 | asks[x]).astype("<u1")
+            blob = b"".join((np.diff(key[x], prepend=np.uint64(0)).tobytes(), words[x].tobytes(), doc[x].tobytes(), a[x].astype("<i4").tobytes(), step.tobytes()))
+            out.append((int(k), codec.compress(blob, asbytes=True), int(cuts[k + 1] - cuts[k])))
+        return _batch(out, MATCHES, (pa.int32(), pa.binary(), pa.int64()))
+
+    def run(batches):
+        rows, held = [], 0
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for i, j, data, offsets in wh.chunks(b.column(1)):
+                h, bounds, _, _ = wh.words(data, offsets)
+                for r in range(i, j):
+                    m = np.frombuffer(b.column(3)[r].as_py(), np.int32).reshape(-1, 3).astype(np.int64)
+                    seed = np.flatnonzero(m[:, 2] == 0)
+                    seed = seed[np.argsort(m[seed, 0], kind="stable")]
+                    refs, pos = np.frombuffer(b.column(2)[r].as_py(), np.uint64)[seed], m[seed, 0]
+                    got = edges(pos, wh.mix(refs * wh.MIX[0] + m[seed, 1].astype(np.uint64)), h[bounds[r - i] : bounds[r - i + 1]])
+                    if got is None:
+                        continue
+                    a, z, key, words = got
+                    inside = np.zeros(len(a), bool)
+                    for s in b.column(4)[r].as_py() or ():
+                        inside |= (a >= s["lo"]) & (z + K <= s["hi"])
+                    rows.append((np.full(len(a), ids[r]), a, z, key, words, ~inside))
+                    held += len(a)
+                if held > PAIRS:
+                    yield sent(rows)
+                    rows, held = [], 0
+        if rows:
+            yield sent(rows)
+
+    return run
+
+
+def _pairs(ranges: int):
+    """Buckets of edges, sorted by bucket: the matches of every edge that asks with the first text of each class of its words."""
+
+    def solve(held):
+        got = []
+        for blob, n in held:
+            raw = pa.Codec("zstd").decompress(blob, 29 * n, asbytes=True)
+            key = np.cumsum(np.frombuffer(raw, np.uint64, n))
+            step = np.frombuffer(raw, "<u1", n, 28 * n)
+            got.append((key, np.frombuffer(raw, np.uint64, n, 8 * n), np.frombuffer(raw, np.int64, n, 16 * n), np.frombuffer(raw, "<i4", n, 24 * n).astype(np.int64), (step >> 1).astype(np.int64), step & 1 > 0))
+        key, words, doc, pos, step, asks = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((pos, doc, words, key))
+        key, words, doc, pos, step, asks = key[order], words[order], doc[order], pos[order], step[order], asks[order]
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new | np.append(True, words[1:] != words[:-1]))
+        group = np.cumsum(new) - 1
+        cuts = np.append(np.flatnonzero(new[first]), len(first))
+        asking = np.flatnonzero(asks)
+        many = np.diff(cuts)[group[asking]]
+        ends = np.cumsum(many)
+        lo = 0
+        while lo < len(asking):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+            n = many[lo:hi]
+            f = np.repeat(asking[lo:hi], n)
+            e = first[np.repeat(cuts[group[asking[lo:hi]]] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+            earlier = doc[e] < doc[f]
+            f, e = f[earlier], e[earlier]
+            twice = lambda x: np.concatenate([x, x])
+            yield _batch(_packed(ranges, twice(doc[f]), np.concatenate([pos[f], pos[f] + step[f]]), twice(doc[e]), np.concatenate([pos[e], pos[e] + step[e]]), np.zeros(2 * len(f), np.int64)), MATCHES, (pa.int32(), pa.binary(), pa.int64()))
+            lo = hi
+
+    def run(batches):
+        held, now = [], None
+        for b in batches:
+            for bucket, m, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if bucket != now and held:
+                    yield from solve(held)
+                    held = []
+                now = bucket
+                held.append((m, n))
+        if held:
+            yield from solve(held)
+
+    return run
+
+
+def _windows(batches):
+    """Each text with its matches of edges: the words of both texts to compare, where edges lie along a diagonal."""
+    for b in batches:
+        ids, out = b.column(0).to_numpy(), []
+        for i, j, data, offsets in wh.chunks(b.column(1)):
+            h, bounds, _, _ = wh.words(data, offsets)
+            h = h.astype(np.uint32)
+            for r in range(i, j):
+                w = h[bounds[r - i] : bounds[r - i + 1]]
+                refs = np.frombuffer(b.column(2)[r].as_py(), np.int64)
+                m = np.frombuffer(b.column(3)[r].as_py(), np.int32).reshape(-1, 3)[:, :2].astype(np.int64)
+                for rows in np.split(np.arange(len(refs)), np.flatnonzero(refs[1:] != refs[:-1]) + 1):
+                    # Two seeds REACH apart on both sides still make a chain at this cost of a gap.
+                    for c in chains(m[rows], K / (4 * REACH), K, K):
+                        lo, hi = max(0, int(c[0, 0]) - MARGIN), min(len(w), int(c[-1, 0]) + K + MARGIN)
+                        low = max(0, int(c[0, 1]) - MARGIN)
+                        out.append((int(ids[r]), int(refs[rows[0]]), lo, w[lo:hi].tobytes(), low, int(c[-1, 1]) + K + MARGIN - low))
+        yield _batch(out, ("doc_id", "ref", "lo", "words", "ref_lo", "ref_n"), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()))
+
+
+def common_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Points of all runs of K words that two lists of words share, one for K words of a diagonal."""
+    x, y = (np.lib.stride_tricks.sliding_window_view(w.astype(np.uint64), K) @ wh.MIX[:K] if len(w) >= K else np.zeros(0, np.uint64) for w in (a, b))
+    order = np.argsort(y, kind="stable")
+    lo, hi = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
+    n = hi - lo
+    at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(x) else np.zeros(0, np.int64)
+    points = np.stack([np.repeat(np.arange(len(x)), n), order[at]], axis=1)
+    return points_of(np.concatenate([points, np.zeros((len(points), 1), np.int64)], axis=1))
+
+
+def _compare(batches):
+    """Words of two texts: chains of all runs that they share, aligned; not those within a span of a better chain, as in repeated lines."""
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            words, other = (np.frombuffer(r[k], np.uint32) for k in ("words", "ref_words"))
+            points = common_runs(words, other)
+            held = np.zeros(len(words) + K, bool)
+            for c in chains(points) if len(points) > 1 else ():
+                if held[c[0, 0] : c[-1, 0] + K].all():
+                    continue
+                for start, n, there, *rest in good_spans(c + np.array([r["lo"], 0]), words, r["lo"], other):
+                    held[start - r["lo"] : start - r["lo"] + n] = True
+                    out.append((r["doc_id"], r["ref"], start, n, there + r["ref_lo"], *rest))
+        yield _batch(out, ("doc_id", "ref", "start", "n", "ref_start", "ref_n", "same"), (pa.int64(),) * 7)
+
+
 def _words(batches):
     for b in batches:
         out = []
@@ -499,6 +681,20 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["doc_id", "rep", "n"])
 
 
+def _aligned(own: DataFrame, joined: DataFrame, find, kinds: str, align) -> DataFrame:
+    """Spans, as align gives them, of what find finds in the texts, beside the words of the earlier texts."""
+    found = cut(joined.mapInArrow(lean(find), kinds))
+    named = small(cut(found.select(F.col("ref").alias("doc_id")).distinct()), 8)
+    words = cut(own.join(named, "doc_id", "left_semi").mapInArrow(lean(_words), "ref long, ref_words binary"))
+    # Of the earlier text only the words at the chain leave the join.
+    near = found.join(words, "ref").withColumn("ref_words", F.expr("substring(ref_words, 4 * ref_lo + 1, 4 * ref_n)")).drop("ref_n")
+    return near.mapInArrow(lean(align), "doc_id long, ref long, start long, n long, ref_start long, ref_n long, same long")
+
+
+def _collected(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "ref", "same", "ref_start")).alias("spans")).mapInArrow(_passages, RESULT)
+
+
 def fuzzy_passages(docs: DataFrame) -> DataFrame:
     """One row for each passage of a document that an earlier one holds, exactly or nearly.
 
@@ -523,15 +719,16 @@ def fuzzy_passages(docs: DataFrame) -> DataFrame:
     matches = cut(matches.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_gather), "doc_id long, refs binary, m binary"), "lz4")
     drop(met)
     joined = own.join(matches.hint("merge"), "doc_id").select("doc_id", "text", "refs", "m")
-    found = cut(joined.mapInArrow(lean(_chain), "doc_id long, ref long, chain binary, lo int, words binary, ref_lo int, ref_n int"))
+    spans = cut(_aligned(own, joined, _chain, "doc_id long, ref long, chain binary, lo int, words binary, ref_lo int, ref_n int", _align))
+    covered = _collected(spans).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("lo"), F.expr("start_word + n_words").alias("hi"))).alias("covered"))
+    asked = joined.join(covered, "doc_id", "left").select("doc_id", "text", "refs", "m", "covered")
+    sides = asked.mapInArrow(lean(_edges(n)), EDGES_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
+    pairs = cut(sides.mapInArrow(lean(_pairs(n)), MATCHES_SQL), "lz4")
     drop(matches)
-    named = small(cut(found.select(F.col("ref").alias("doc_id")).distinct()), 8)
-    words = cut(own.join(named, "doc_id", "left_semi").mapInArrow(lean(_words), "ref long, ref_words binary"))
-    # Of the earlier text only the words at the chain leave the join.
-    near = found.join(words, "ref").withColumn("ref_words", F.expr("substring(ref_words, 4 * ref_lo + 1, 4 * ref_n)")).drop("ref_n")
-    spans = near.mapInArrow(lean(_align), "doc_id long, ref long, start long, n long, ref_start long, ref_n long, same long")
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "ref", "same", "ref_start")).alias("spans"))
-    passages = spans.mapInArrow(_passages, RESULT)
+    pairs = cut(pairs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_gather), "doc_id long, refs binary, m binary"), "lz4")
+    joined = own.join(pairs.hint("merge"), "doc_id").select("doc_id", "text", "refs", "m")
+    more = _aligned(own, joined, _windows, "doc_id long, ref long, lo int, words binary, ref_lo int, ref_n int", _compare)
+    passages = _collected(spans.unionByName(more))
     whole = docs.join(small(copies, 16), "doc_id").select("doc_id", "text", "rep").mapInArrow(_counted, "doc_id long, rep long, n long").where(F.col("n") >= LEAST)
     zero, one = F.lit(0).cast("long"), F.lit(1.0)
     whole = whole.select("doc_id", zero.alias("start_word"), F.col("n").alias("n_words"), F.array("rep").alias("refs"), F.col("rep").alias("best_ref"), zero.alias("best_start"), F.col("n").alias("best_words"), one.alias("identity"), F.lit(True).alias("copy"))

@@ -315,3 +315,50 @@ def test_places_beyond_three_bytes(monkeypatch):
     want = chaining.seeds(h, bounds)
     monkeypatch.setattr(chaining, "LOW", 4)  # a batch longer than the bits that are set aside takes more of them
     assert all((a == b).all() for a, b in zip(want, chaining.seeds(h, bounds), strict=True))
+
+
+def test_passages_whose_keys_all_lead_elsewhere(spark):
+    passage = [f"w{j}" for j in range(84)]
+    own = lambda i, n: [f"own{i}w{j}" for j in range(n)]
+    # Every run of 14 words lies in a snippet of some earlier text; snippets are no passages, and more than CROWD texts hold each.
+    rows = [(20 * k + c, own(20 * k + c, 30) + passage[4 * k : 4 * k + 14] + own(3000 + 20 * k + c, 30)) for k in range(18) for c in range(12)]
+    edited = [f"edit{j}" if j % 13 == 12 else x for j, x in enumerate(passage)]
+    rows += [(1000, own(1000, 40) + passage + own(1001, 40)), (1001, own(1002, 25) + edited + own(1003, 70))]
+    again = [f"other{j}" if j % 13 == 6 else x for j, x in enumerate(passage)]
+    rows += [(1002, own(1004, 7) + again + own(1005, 9))]
+    for n in (1, 5):
+        found = chaining.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(n)).collect()
+        got = {r.doc_id: r for r in found}
+        assert set(got) == {1001, 1002} and len(found) == 2
+        assert 1000 in got[1001].refs and got[1001].best_ref == 1000 and got[1001].start_word <= 25 and got[1001].n_words >= 84
+        assert 1000 in got[1002].refs and got[1002].n_words >= 78
+
+
+def test_edges_meet_the_first_text_of_each_class(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    h = np.random.default_rng(1).integers(1, 1 << 63, 200, dtype=np.uint64)
+    pos = np.array([3, 10, 40, 74, 139])
+    a, z, key, words = chaining.edges(pos, h[:5], h)
+    assert sorted(zip(a.tolist(), z.tolist(), strict=True)) == [(3, 10), (3, 40), (10, 40), (10, 74), (40, 74)]
+    assert len(set(key.tolist())) == len(set(words.tolist())) == 5
+    assert chaining.edges(pos[::4], h[:2], h) is None
+    texts = [(1, "a"), (2, "b"), (3, "a"), (4, "c"), (5, "b")]
+    middle = {"a": "x y", "b": "x z", "c": "v w y"}
+    ids, text = [i for i, _ in texts], [f"p q r s t {middle[m]} k l m n o" for _, m in texts]
+    want = {(2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (5, 1), (5, 2), (5, 4)}
+    for most in (1 << 20, 1):  # pairs made at once
+        monkeypatch.setattr(chaining, "PAIRS", most)
+        place = [7 + (i == 4) for i in ids]
+        m = [np.array([[0, 0, 0], [p, 7, 0]], np.int32).tobytes() for p in place]
+        refs = [np.array([1, 1]).tobytes() for _ in ids]
+        covered = pa.array([None] * 5, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+        b = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(text), pa.array(refs, pa.binary()), pa.array(m, pa.binary()), covered], ["doc_id", "text", "refs", "m", "covered"])
+        sides = [x for k in (slice(0, 3), slice(3, 2)) for x in chaining._edges(1)([b.slice(k.start, k.stop)])]
+        got = set()
+        for out in chaining._pairs(1)(iter(sides)):
+            for blob, n in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True):
+                doc, ref, _ = chaining._unpacked(blob, n)
+                got |= set(zip(doc.tolist(), ref.tolist(), strict=True))
+        assert got == want
