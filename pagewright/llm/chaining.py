@@ -29,6 +29,8 @@ null doc_id are left out; rows that repeat a doc_id are one document, the one wh
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,6 +45,8 @@ K, W, GAP, LEAST, SPAN, IDENTITY = wh.SHINGLE, 10, 0.1, 50, 15, 0.8
 RUNS, CROWD = (SPAN, 40), 8
 #: Bytes of text whose keys are packed together.
 PACK = 1 << 20
+#: Words between two spans that still touch.
+TOUCH = 2
 #: Words beyond a chain's ends that may still belong to it: an equal run of K + W - 1 words holds a seed.
 MARGIN = K + W
 #: Words from the first to the last seed of an edge; passages of LEAST words reach no farther.
@@ -287,56 +291,47 @@ def _gather(batches):
         yield from solve(held)
 
 
-class Fenwick:
-    """Prefix maxima of (value, index)."""
-
-    def __init__(self, n: int):
-        self.n, self.best = n, [(0.0, -1)] * (n + 1)
-
-    def put(self, k: int, value: float, index: int) -> None:
-        k += 1
-        while k <= self.n:
-            if value > self.best[k][0] or self.best[k][1] < 0:
-                self.best[k] = (value, index)
-            k += k & -k
-
-    def upto(self, k: int) -> tuple[float, int]:
-        """The largest among the first k."""
-        out = (float("-inf"), -1)
-        while k > 0:
-            if self.best[k][1] >= 0 and self.best[k][0] > out[0]:
-                out = self.best[k]
-            k -= k & -k
-        return out
-
-
 def chains(points: np.ndarray, gap: float = GAP, weight: float = K, least: float = 2 * K) -> list[np.ndarray]:
     """Local collinear chains of (x, y) points, best first: rows of points, ascending in both; each point in one chain at most.
 
     A chain's score is weight for each point less gap for each unit of L1 distance between neighbours; links that
     do not pay are not made.
     """
-    points = np.unique(points, axis=0)
-    ys, rank = np.unique(points[:, 1], return_inverse=True)
-    tree = Fenwick(len(ys))
-    score, back, waiting = [0.0] * len(points), [-1] * len(points), []
-    xy = points.tolist()
-    rank = rank.tolist()
-    for i, (x, y) in enumerate(xy):
-        if waiting and xy[waiting[0]][0] != x:  # points of one x may not follow each other
-            for j in waiting:
-                tree.put(rank[j], score[j] + gap * (xy[j][0] + xy[j][1]), j)
-            waiting = []
-        value, j = tree.upto(rank[i])
-        value -= gap * (x + y)
-        if j >= 0 and value > 0:
-            score[i], back[i] = weight + value, j
-        else:
-            score[i] = weight
-        waiting.append(i)
-    used, out = [False] * len(xy), []
-    for i in sorted(range(len(xy)), key=lambda i: (-score[i], i)):
-        if used[i] or score[i] < least:
+    points = points[np.lexsort((points[:, 1], points[:, 0]))]
+    points = points[np.append(True, (points[1:] != points[:-1]).any(axis=1))[: len(points)]]
+    return [points[c] for c in _chains(points[:, 0].tolist(), points[:, 1].tolist(), gap, weight, least)]
+
+
+def _chains(xs: list[int], ys: list[int], gap: float, weight: float, least: float) -> list[list[int]]:
+    """The chains of distinct points, sorted by x and y, as their numbers. A Fenwick tree holds prefix maxima of (value, point)."""
+    n = len(xs)
+    place = {y: k for k, y in enumerate(sorted(set(ys)))}
+    rank = [place[y] for y in ys]
+    size = len(place)
+    value_at, point_at = [float("-inf")] * (size + 1), [-1] * (size + 1)
+    score, back, first = [float(weight)] * n, [-1] * n, 0
+    for i in range(n):
+        x, k = xs[i], rank[i]
+        if xs[first] != x:  # points of one x may not follow each other
+            for j in range(first, i):
+                value, r = score[j] + gap * (xs[j] + ys[j]), rank[j] + 1
+                while r <= size:
+                    if value > value_at[r]:
+                        value_at[r], point_at[r] = value, j
+                    r += r & -r
+            first = i
+        value, j = float("-inf"), -1
+        while k > 0:
+            if value_at[k] > value:
+                value, j = value_at[k], point_at[k]
+            k -= k & -k
+        if j >= 0:
+            value -= gap * (x + ys[i])
+            if value > 0:
+                score[i], back[i] = weight + value, j
+    used, out = [False] * n, []
+    for i in sorted((i for i in range(n) if score[i] >= least), key=lambda i: -score[i]):
+        if used[i]:
             continue
         chain, j = [], i
         while j >= 0 and not used[j]:
@@ -345,7 +340,7 @@ def chains(points: np.ndarray, gap: float = GAP, weight: float = K, least: float
             j = back[j]
         total = score[i] - (score[j] if j >= 0 else 0)
         if total >= least:
-            out.append(points[chain[::-1]])
+            out.append(chain[::-1])
     return out
 
 
@@ -510,8 +505,23 @@ def _pairs(ranges: int):
     return run
 
 
+def reaching(parts: list[tuple[int, int]]) -> list[bool]:
+    """Of spans (first word, end), whether each touches others, directly or not, with which it reaches over LEAST words."""
+    out, group, lo, end = [False] * len(parts), [], 0, 0
+    for k in [*sorted(range(len(parts)), key=lambda k: parts[k]), None]:
+        if k is None or group and parts[k][0] > end + TOUCH:
+            for g in group:
+                out[g] = end - lo >= LEAST
+            group = []
+        if k is not None:
+            lo, end = (lo, max(end, parts[k][1])) if group else parts[k]
+            group.append(k)
+    return out
+
+
 def _windows(batches):
-    """Each text with its matches of edges: the words of both texts to compare, where edges lie along a diagonal."""
+    """Each text with its matches of edges and its spans of the first round: the words of both texts to compare, where edges lie
+    along a diagonal. Spans lie inside windows, so windows that with others and with those spans do not reach over LEAST words go."""
     for b in batches:
         ids, out = b.column(0).to_numpy(), []
         for i, j, data, offsets in wh.chunks(b.column(1)):
@@ -521,40 +531,78 @@ def _windows(batches):
                 w = h[bounds[r - i] : bounds[r - i + 1]]
                 refs = np.frombuffer(b.column(2)[r].as_py(), np.int64)
                 m = np.frombuffer(b.column(3)[r].as_py(), np.int32).reshape(-1, 3)[:, :2].astype(np.int64)
+                mine = []
                 for rows in np.split(np.arange(len(refs)), np.flatnonzero(refs[1:] != refs[:-1]) + 1):
                     # Two seeds REACH apart on both sides still make a chain at this cost of a gap.
                     for c in chains(m[rows], K / (4 * REACH), K, K):
                         lo, hi = max(0, int(c[0, 0]) - MARGIN), min(len(w), int(c[-1, 0]) + K + MARGIN)
                         low = max(0, int(c[0, 1]) - MARGIN)
-                        out.append((int(ids[r]), int(refs[rows[0]]), lo, w[lo:hi].tobytes(), low, int(c[-1, 1]) + K + MARGIN - low))
+                        mine.append((lo, hi, int(refs[rows[0]]), low, int(c[-1, 1]) + K + MARGIN - low))
+                held = [(s["start"], s["start"] + s["n"]) for s in b.column(4)[r].as_py() or ()]
+                wanted = reaching([x[:2] for x in mine] + held)
+                out += [(int(ids[r]), ref, lo, w[lo:hi].tobytes(), *there) for (lo, hi, ref, *there), x in zip(mine, wanted, strict=False) if x]
         yield _batch(out, ("doc_id", "ref", "lo", "words", "ref_lo", "ref_n"), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()))
 
 
-def common_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Points of all runs of K words that two lists of words share, one for K words of a diagonal."""
-    x, y = (np.lib.stride_tricks.sliding_window_view(w.astype(np.uint64), K) @ wh.MIX[:K] if len(w) >= K else np.zeros(0, np.uint64) for w in (a, b))
+#: Words of windows whose common runs are found at once.
+AT_ONCE = 1 << 15
+
+
+def common_runs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[list[int], list[int]]]:
+    """Of pairs of lists of words, the points (x, y) of all runs of K words that both share, one for K words of a diagonal, by x and y."""
+    sides = []
+    for side in zip(*pairs, strict=True):
+        w, bounds = np.concatenate(side).astype(np.uint64), np.append(0, np.cumsum([len(x) for x in side]))
+        n = max(0, len(w) - K + 1)
+        runs = sum((w[d : d + n] * wh.MIX[d] for d in range(K)), np.zeros(n, np.uint64))
+        owner = np.repeat(np.arange(len(side)), np.diff(bounds))[:n]
+        fits = np.arange(n) + K <= bounds[1:][owner]
+        owner, place = owner[fits], (np.arange(n) - bounds[:-1][owner])[fits]
+        sides.append((runs[fits], owner, place))
+    (x, x_owner, x_place), (y, y_owner, y_place) = sides
+    # Runs are numbered by value, so that a run and its pair fit one number.
+    code = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+    x, y = code[: len(x)] * len(pairs) + x_owner, code[len(x) :] * len(pairs) + y_owner
     order = np.argsort(y, kind="stable")
     lo, hi = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
     n = hi - lo
-    at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(x) else np.zeros(0, np.int64)
-    points = np.stack([np.repeat(np.arange(len(x)), n), order[at]], axis=1)
-    return points_of(np.concatenate([points, np.zeros((len(points), 1), np.int64)], axis=1))
+    at = order[np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())] if len(x) else np.zeros(0, np.int64)
+    owner, px, py = np.repeat(x_owner, n), np.repeat(x_place, n), y_place[at]
+    # The first point of each diagonal in K words of a text.
+    order = np.lexsort((px, px - py, px // K, owner))
+    owner, px, py = owner[order], px[order], py[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (px[1:] // K != px[:-1] // K) | (px[1:] - py[1:] != px[:-1] - py[:-1]))[: len(px)]
+    owner, px, py = owner[new], px[new], py[new]
+    order = np.lexsort((py, px, owner))
+    cuts = np.searchsorted(owner[order], np.arange(len(pairs) + 1)).tolist()
+    px, py = px[order].tolist(), py[order].tolist()
+    return [(px[i:j], py[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def _compare(batches):
     """Words of two texts: chains of all runs that they share, aligned; not those within a span of a better chain, as in repeated lines."""
+
+    def spans(r, words, other, xs, ys):
+        held, a, b = bytearray(len(words) + K), words.tolist(), other.tolist()
+        for c in _chains(xs, ys, GAP, K, 2 * K):
+            x, y = [xs[k] for k in c], [ys[k] for k in c]
+            if 0 not in held[x[0] : x[-1] + K]:
+                continue
+            for start, n, there, *rest in _good_spans(x, y, a, r["lo"], b):
+                held[start - r["lo"] : start - r["lo"] + n] = b"\1" * n
+                yield r["doc_id"], r["ref"], start, n, there + r["ref_lo"], *rest
+
     for b in batches:
-        out = []
-        for r in b.to_pylist():
-            words, other = (np.frombuffer(r[k], np.uint32) for k in ("words", "ref_words"))
-            points = common_runs(words, other)
-            held = np.zeros(len(words) + K, bool)
-            for c in chains(points) if len(points) > 1 else ():
-                if held[c[0, 0] : c[-1, 0] + K].all():
-                    continue
-                for start, n, there, *rest in good_spans(c + np.array([r["lo"], 0]), words, r["lo"], other):
-                    held[start - r["lo"] : start - r["lo"] + n] = True
-                    out.append((r["doc_id"], r["ref"], start, n, there + r["ref_lo"], *rest))
+        rows, out = b.to_pylist(), []
+        pairs = [tuple(np.frombuffer(r[k], np.uint32) for k in ("words", "ref_words")) for r in rows]
+        ends = np.cumsum([len(x) + len(y) for x, y in pairs])
+        lo = 0
+        while lo < len(rows):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+            for r, pair, (xs, ys) in zip(rows[lo:hi], pairs[lo:hi], common_runs(pairs[lo:hi]), strict=True):
+                if len(xs) > 1:
+                    out += spans(r, *pair, xs, ys)
+            lo = hi
         yield _batch(out, ("doc_id", "ref", "start", "n", "ref_start", "ref_n", "same"), (pa.int64(),) * 7)
 
 
@@ -585,58 +633,99 @@ def equal_words(a: list[int], b: list[int]) -> int:
 
 def _extend(a, b, step_a, step_b) -> tuple[int, int]:
     """How far two word lists go together from their starts: (words, equal words) at the best net gain, one by one."""
-    best = gain = same = kept = 0
+    best = gain = same = kept = at = 0
+    left = min(len(a), len(b))
     for k, (x, y) in enumerate(zip(a[::step_a], b[::step_b], strict=False), 1):
-        gain += 1 if x == y else -2
-        same += x == y
-        if gain > best:
-            best, kept, at = gain, same, k
-    return (at, kept) if best else (0, 0)
+        if x == y:
+            gain += 1
+            same += 1
+            if gain > best:
+                best, kept, at = gain, same, k
+        else:
+            gain -= 2
+            if gain + left - k <= best:  # no later gain can be the best one
+                break
+    return at, kept
+
+
+def _gained(x: list[int], y: list[int], a: list[int], b: list[int]) -> list[int]:
+    """Equal words that each point of a chain but the first adds to those before it: those of the gap, and its own beyond the run before."""
+    out = []
+    for p, q, u, v in zip(x, y, x[1:], y[1:], strict=False):
+        near = min(u - p, v - q)
+        out.append(max(0, near) if near < K else K + equal_words(a[p + K : u], b[q + K : v]))
+    return out
+
+
+def _reach(x: list[int], y: list[int], a: list[int], b: list[int]) -> tuple[int, int, int]:
+    """(Words before a chain, words after it, equal words among them) by which its ends are extended."""
+    end, there = x[-1] + K, y[-1] + K
+    back, got = _extend(a[: x[0]], b[: y[0]], -1, -1)
+    ahead, more = _extend(a[end:], b[there : there + MARGIN], 1, 1)
+    return back, ahead, got + more
 
 
 def align(chain: np.ndarray, words: np.ndarray, lo: int, other: np.ndarray) -> tuple[int, int, int, int, int]:
     """(first word, words, first word there, words there, equal words) of a chain; words begin at word lo of the text."""
-    x, y = (chain[:, 0] - lo).tolist(), chain[:, 1].tolist()
-    a, b = words.tolist(), other.tolist()
-    same, at_x, at_y = 0, x[0], y[0]
-    for p, q in zip(x, y, strict=True):
-        ex, ey = p + K, q + K
-        if p >= at_x and q >= at_y:
-            same += equal_words(a[at_x:p], b[at_y:q]) + K
-        else:  # overlaps the run before
-            shift = max(at_x - p, at_y - q)
-            same += max(0, K - shift)
-        at_x, at_y = max(at_x, ex), max(at_y, ey)
-    back, got = _extend(a[: x[0]], b[: y[0]], -1, -1)
-    ahead, more = _extend(a[at_x:], b[at_y : at_y + MARGIN], 1, 1)
-    return lo + x[0] - back, at_x - x[0] + back + ahead, y[0] - back, at_y - y[0] + back + ahead, same + got + more
+    x, y, a, b = (chain[:, 0] - lo).tolist(), chain[:, 1].tolist(), words.tolist(), other.tolist()
+    back, ahead, same = _reach(x, y, a, b)
+    return lo + x[0] - back, x[-1] + K - x[0] + back + ahead, y[0] - back, y[-1] + K - y[0] + back + ahead, K + sum(_gained(x, y, a, b)) + same
+
+
+def _worst(lost: list[int]) -> tuple[list[int], list[int], int]:
+    """(left, right, root): the worst gap of all, then of those before and after it, and so on; of equal ones the first. -1: none."""
+    left, right, path = [-1] * len(lost), [-1] * len(lost), []
+    for k, x in enumerate(lost):
+        below = -1
+        while path and lost[path[-1]] < x:
+            below = path.pop()
+        left[k] = below
+        if path:
+            right[path[-1]] = k
+        path.append(k)
+    return left, right, path[0] if path else -1
 
 
 def good_spans(chain: np.ndarray, words: np.ndarray, lo: int, other: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """The spans of a chain, as align gives them, of SPAN words and IDENTITY or more; a part with less is split at its worst gap."""
+    return _good_spans((chain[:, 0] - lo).tolist(), chain[:, 1].tolist(), words.tolist(), lo, other.tolist())
+
+
+def _good_spans(x: list[int], y: list[int], a: list[int], lo: int, b: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """good_spans of a chain's places in the lists a, which begins at word lo of its text, and b."""
     good = lambda span: min(span[1], span[3]) >= SPAN and span[4] >= IDENTITY * max(span[1], span[3])
-    whole = align(chain, words, lo, other)
-    if good(whole) or len(chain) == 1:
+    before, after, same = _reach(x, y, a, b)
+    if min(x[-1] - x[0], y[-1] - y[0]) + K + before + after < SPAN:
+        return []
+    got, n = _gained(x, y, a, b), len(x)
+    sums = list(accumulate(got, initial=K))
+    whole = lo + x[0] - before, x[-1] + K - x[0] + before + after, y[0] - before, y[-1] + K - y[0] + before + after, sums[-1] + same
+    if good(whole) or n == 1:
         return [whole] if good(whole) else []
-    x, y = (chain[:, 0] - lo).tolist(), chain[:, 1].tolist()
-    a, b = words.tolist(), other.tolist()
-    step = np.diff(chain, axis=0)
-    got = [max(0, K - max(K - dx, K - dy)) if min(dx, dy) < K else K + equal_words(a[p + K : p + dx], b[q + K : q + dy]) for (dx, dy), p, q in zip(step.tolist(), x, y, strict=False)]
-    lost, sums = step.max(axis=1) - got, np.cumsum([0, *got])
-    todo, out = [(0, len(x))], []
+    lost = [max(x[k + 1] - x[k], y[k + 1] - y[k]) - g for k, g in enumerate(got)]
+    left, right, root = _worst(lost)
+    ends: list[tuple[tuple[int, int] | None, tuple[int, int] | None]] = [(None, None)] * n
+    todo, out = [(0, n, root)], []
     while todo:
-        i, j = todo.pop()
-        after, there = x[j - 1] + K, y[j - 1] + K
+        i, j, k = todo.pop()
         low, low_there = (x[i - 1] + K, y[i - 1] + K) if i else (0, 0)
-        top, top_there = (x[j], y[j]) if j < len(x) else (len(a), len(b))
-        back, same = _extend(a[max(low, x[i] - MARGIN) : x[i]], b[max(low_there, y[i] - MARGIN) : y[i]], -1, -1)
-        ahead, more = _extend(a[after : min(top, after + MARGIN)], b[there : min(top_there, there + MARGIN)], 1, 1)
-        span = lo + x[i] - back, after - x[i] + back + ahead, y[i] - back, there - y[i] + back + ahead, int(sums[j - 1] - sums[i]) + K + same + more
-        if good(span):
-            out.append(span)
-        elif j - i > 1 and lost[i : j - 1].max() > 0:
-            k = i + 1 + int(lost[i : j - 1].argmax())
-            todo += [(i, k), (k, j)]
+        top, top_there = (x[j], y[j]) if j < n else (len(a), len(b))
+        end, there = x[j - 1] + K, y[j - 1] + K
+        wide, wide_there, equal = end - x[i], there - y[i], sums[j - 1] - sums[i] + K
+        most = max(0, min(MARGIN, x[i] - low, y[i] - low_there)) + max(0, min(MARGIN, top - end, top_there - there))
+        # Words beyond the ends add as many to both sides and to the equal words at most: what then still falls short is not good.
+        if min(wide, wide_there) + most >= SPAN and equal + most >= IDENTITY * (max(wide, wide_there) + most) - 1e-6:
+            if ends[i][0] is None:
+                ends[i] = _extend(a[max(low, x[i] - MARGIN) : x[i]], b[max(low_there, y[i] - MARGIN) : y[i]], -1, -1), ends[i][1]
+            if ends[j - 1][1] is None:
+                ends[j - 1] = ends[j - 1][0], _extend(a[end : min(top, end + MARGIN)], b[there : min(top_there, there + MARGIN)], 1, 1)
+            (back, same), (ahead, more) = ends[i][0], ends[j - 1][1]
+            span = lo + x[i] - back, wide + back + ahead, y[i] - back, wide_there + back + ahead, equal + same + more
+            if good(span):
+                out.append(span)
+                continue
+        if k >= 0 and lost[k] > 0:
+            todo += [(i, k + 1, left[k]), (k + 1, j, right[k])]
     return out
 
 
@@ -658,7 +747,7 @@ def _passages(batches):
             spans = sorted((s["start"], s["start"] + s["n"], s["ref"], s["same"], s["n"], s["ref_start"]) for s in spans)
             group, reach = [], -1
             for s in [*spans, None]:
-                if s is None or group and s[0] > reach + 2:
+                if s is None or group and s[0] > reach + TOUCH:
                     lo = group[0][0]
                     if reach - lo >= LEAST:
                         best = max(group, key=lambda g: (g[4], -g[2]))
@@ -726,7 +815,8 @@ def fuzzy_passages(docs: DataFrame) -> DataFrame:
     pairs = cut(sides.mapInArrow(lean(_pairs(n)), MATCHES_SQL), "lz4")
     drop(matches)
     pairs = cut(pairs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_gather), "doc_id long, refs binary, m binary"), "lz4")
-    joined = own.join(pairs.hint("merge"), "doc_id").select("doc_id", "text", "refs", "m")
+    met = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("met"))
+    joined = own.join(pairs.join(met, "doc_id", "left").hint("merge"), "doc_id").select("doc_id", "text", "refs", "m", "met")
     more = _aligned(own, joined, _windows, "doc_id long, ref long, lo int, words binary, ref_lo int, ref_n int", _compare)
     passages = _collected(spans.unionByName(more))
     whole = docs.join(small(copies, 16), "doc_id").select("doc_id", "text", "rep").mapInArrow(_counted, "doc_id long, rep long, n long").where(F.col("n") >= LEAST)
